@@ -11,6 +11,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import languages
+
+    return languages.found(_table(spark, sf_dir, "poems_for_manual_annotation"))
+
+
+def p1_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import languages
+
+    return languages.stretches(_table(spark, sf_dir, "poems_for_manual_annotation"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lookalike
 
@@ -35,5 +47,5 @@ def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(_table(spark, sf_dir, "poems_for_manual_annotation"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_sentences)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_stretches, p3_found, p3_canonical, p4_found, p4_sentences)}
 ORACLES: dict[str, str] = {}
