@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from ._rows import count_rows, map_rows
 from .lookalike import APOSTROPHES, LATIN_CYRILLIC, LATIN_GREEK, invisible
 
@@ -313,9 +314,11 @@ def corpus_evidence(df: DataFrame, col: str = "text", min_share: float = 1 / 200
     def make():
         return lambda texts: evidence(texts)
 
-    got = count_rows(df.select(F.col(col)), make, "kind string, key string")
-    floor = F.expr("sum(n) over (partition by kind)") * min_share
-    used = got.withColumn("floor", floor).filter((F.col("n") >= F.col("floor")) & (F.length("key") > 0))
+    got = materialise(count_rows(df.select(F.col(col)), make, "kind string, key string"))
+    floor = F.lit(0.0)
+    for r in got.groupBy("kind").agg(F.sum("n").alias("n")).collect():  # ten kinds
+        floor = F.when(F.col("kind") == r["kind"], min_share * r["n"]).otherwise(floor)
+    used = got.filter((F.col("n") >= floor) & (F.length("key") > 0))
     # of words never before or after a full stop only the ones that matter for the questions asked are kept
     asked = used.filter(F.col("kind").isin("a", "x", "d")).select("key").distinct()
     words = used.filter(F.col("kind").isin("l", "t", "d", "x", "s", "a")).join(asked, "key", "left_semi")
