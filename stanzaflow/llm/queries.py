@@ -23,6 +23,18 @@ def p1_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.stretches(_table(spark, sf_dir, "poems_for_manual_annotation"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.found(_table(spark, sf_dir, "poems_for_manual_annotation"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.groups(_table(spark, sf_dir, "poems_for_manual_annotation"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lookalike
 
@@ -47,5 +59,5 @@ def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(_table(spark, sf_dir, "poems_for_manual_annotation"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_stretches, p3_found, p3_canonical, p4_found, p4_sentences)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_groups, p3_found, p3_canonical, p4_found, p4_sentences)}
 ORACLES: dict[str, str] = {}
