@@ -59,5 +59,17 @@ def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(_table(spark, sf_dir, "poems_for_manual_annotation"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_groups, p3_found, p3_canonical, p4_found, p4_sentences)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.found(_table(spark, sf_dir, "documents"))
+
+
+def p8_rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.rate(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_groups, p3_found, p3_canonical, p4_found, p4_sentences, p8_found, p8_rated)}
 ORACLES: dict[str, str] = {}
