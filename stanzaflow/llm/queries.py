@@ -59,6 +59,36 @@ def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(_table(spark, sf_dir, "poems_for_manual_annotation"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.found(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pack_limits"))
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.capacity_of(_table(spark, sf_dir, "pack_limits")))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.found(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.Mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets")).report()
+
+
+def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.Mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets")).copies()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -71,5 +101,5 @@ def p8_rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_groups, p3_found, p3_canonical, p4_found, p4_sentences, p8_found, p8_rated)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_groups, p3_found, p3_canonical, p4_found, p4_sentences, p6_found, p6_packed, p7_found, p7_report, p7_copies, p8_found, p8_rated)}
 ORACLES: dict[str, str] = {}
