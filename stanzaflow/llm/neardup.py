@@ -30,6 +30,7 @@ from .lookalike import Normaliser, text_normaliser
 
 BANDS, ROWS = 64, 6
 BITS = 512
+STEP = 2000  # documents hashed at once
 _WORD = re.compile(r"[^\W_]+(?:[’'-][^\W_]+)*")
 _CJK = re.compile(r"[⺀-鿿]")
 _MARK = re.compile("[̀́]")  # stress that was written out
@@ -50,7 +51,7 @@ def words(text: str, norm: Normaliser) -> list[str]:
 
 
 def bag(found: list[str], memo: dict[str, int]) -> np.ndarray:
-    """Sorted 64-bit elements of the multiset: word and number of its occurrence."""
+    """Sorted 32-bit elements of the multiset: word and number of its occurrence, hashed."""
     seen: dict[str, int] = {}
     out = []
     for w in found:
@@ -58,11 +59,11 @@ def bag(found: list[str], memo: dict[str, int]) -> np.ndarray:
         if h is None:
             if len(memo) > 200_000:
                 memo.clear()
-            h = memo[w] = xxhash.xxh64_intdigest(w)
+            h = memo[w] = xxhash.xxh32_intdigest(w)
         k = seen.get(w, 0)
         seen[w] = k + 1
-        out.append((h + k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-    x = np.array(out, np.uint64)
+        out.append((h + k * 0x9E3779B9) & 0xFFFFFFFF)
+    x = np.array(out, np.uint32)
     x.sort()
     return x
 
@@ -74,7 +75,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def minhash(bags: list[np.ndarray]) -> np.ndarray:
     """(document x value) MinHash values of 32 bits; no bag may be empty."""
-    x = _mix(np.concatenate(bags))
+    x = _mix((np.concatenate(bags).astype(np.uint64) + np.uint64(1)) * _MIX)
     starts = np.concatenate(([0], np.cumsum([len(b) for b in bags])[:-1]))
     out = np.empty((len(bags), BANDS * ROWS), np.uint64)
     for i in range(BANDS * ROWS):
@@ -111,7 +112,7 @@ def max_xor(similarity: float) -> int:
 
 
 def bags(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_key, cls, elements): cls is a hash of the multiset, equal for equal multisets."""
+    """(doc_key, cls, elements, sketch): cls is a hash of the multiset, equal for equal multisets."""
     rows = df.select(F.col(key).cast("string"), F.col(text)).filter(F.col(key).isNotNull() & F.col(text).isNotNull())
     norm = text_normaliser(df, text)
 
@@ -119,53 +120,65 @@ def bags(df: DataFrame, key: str, text: str) -> DataFrame:
         memo: dict[str, int] = {}
 
         def work(keys: list, texts: list) -> Iterable[tuple]:
-            for k, t in zip(keys, texts):
-                found = words(t, norm)
-                if found:
-                    raw = bag(found, memo).tobytes()
-                    yield k, xxhash.xxh3_64_intdigest(raw) - (1 << 63), raw
+            for i in range(0, len(keys), STEP):
+                some = [(k, bag(found, memo)) for k, t in zip(keys[i : i + STEP], texts[i : i + STEP]) if (found := words(t, norm))]
+                if some:
+                    sketches = odd_sketch(minhash([x for _, x in some])).tolist()
+                    for (k, x), sk in zip(some, sketches):
+                        raw = x.tobytes()
+                        yield k, xxhash.xxh3_64_intdigest(raw) - (1 << 63), raw, sk
         return work
 
-    return map_rows(rows, make, "doc_key string, cls bigint, elements binary")
+    return map_rows(rows, make, "doc_key string, cls bigint, elements binary, sketch array<bigint>")
 
 
 class Links:
-    """Classes of equal multisets, and the links between classes at or above a similarity."""
+    """Classes of equal multisets, and the links between classes at or above a similarity.
+
+    Bands are made where they are shuffled, and again only copies met in the same task are left out before; the sketch, an eighth of
+    their size, is what is kept."""
 
     def __init__(self, df: DataFrame, key: str = "ID", text: str = "text", threshold: float = 0.65, slack: float = 0.15) -> None:
         every = materialise(bags(df, key, text))
         self.members = every.select("doc_key", "cls").distinct()
-        classes = materialise(every.groupBy("cls").agg(F.first("elements").alias("elements")))
-        signed = materialise(_signatures(classes))
-        bands = signed.select("cls", F.explode("bands").alias("band"))
+        bands = _bands(every).repartition("band").distinct()  # the band's partitioning serves the distinct and the join
         a, b = bands.select("band", F.col("cls").alias("a")), bands.select("band", F.col("cls").alias("b"))
         candidates = a.join(b, "band").filter("a < b").select("a", "b").distinct()
-        sketches = signed.select("cls", "sketch")
+        sketches = every.groupBy("cls").agg(F.first("sketch").alias("sketch"))
         pairs = candidates.join(sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("sb")), "b")
         ones = sum(F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(BITS // 64))
         likely = pairs.filter(ones <= max_xor(threshold - slack)).select("a", "b")
+        classes = every.groupBy("cls").agg(F.first("elements").alias("elements"))
         full = likely.join(classes.select(F.col("cls").alias("a"), F.col("elements").alias("ea")), "a").join(classes.select(F.col("cls").alias("b"), F.col("elements").alias("eb")), "b")
         self.links = materialise(_exact(full).filter(F.col("similarity") >= threshold))
 
 
-def _signatures(classes: DataFrame) -> DataFrame:
+def _bands(every: DataFrame) -> DataFrame:
     def make():
+        seen: set[int] = set()
+
         def work(cls: list, elements: list) -> Iterable[tuple]:
-            step = 2000
-            for i in range(0, len(cls), step):
-                v = minhash([np.frombuffer(e, np.uint64) for e in elements[i : i + step]])
-                yield from zip(cls[i : i + step], band_keys(v).tolist(), odd_sketch(v).tolist())
+            if len(seen) > 500_000:
+                seen.clear()
+            new = {c: e for c, e in zip(cls, elements) if c not in seen}
+            seen.update(new)
+            ids, bags = list(new), list(new.values())
+            for i in range(0, len(ids), STEP):
+                keys = band_keys(minhash([np.frombuffer(e, np.uint32) for e in bags[i : i + STEP]]))
+                for c, row in zip(ids[i : i + STEP], keys.tolist()):
+                    for k in row:
+                        yield k, c
         return work
 
-    return map_rows(classes, make, "cls bigint, bands array<bigint>, sketch array<bigint>")
+    return map_rows(every.select("cls", "elements"), make, "band bigint, cls bigint")
 
 
 def _exact(pairs: DataFrame) -> DataFrame:
     def make():
         def work(a: list, b: list, ea: list, eb: list) -> Iterable[tuple]:
             for x, y, p, q in zip(a, b, ea, eb):
-                u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
+                u, v = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
+                both = len(np.intersect1d(u, v, assume_unique=False))
                 yield x, y, both / (len(u) + len(v) - both)
         return work
 
