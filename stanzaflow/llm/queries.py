@@ -59,6 +59,24 @@ def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(_table(spark, sf_dir, "poems_for_manual_annotation"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import consensus
+
+    return consensus.found(_table(spark, sf_dir, "poem_perspectives"))
+
+
+def p5_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import consensus
+
+    return consensus.Consensus(consensus.judgments(_table(spark, sf_dir, "poem_perspectives"))).annotators()
+
+
+def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import consensus
+
+    return consensus.krippendorff(consensus.judgments(_table(spark, sf_dir, "poem_perspectives")))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -101,5 +119,5 @@ def p8_rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_groups, p3_found, p3_canonical, p4_found, p4_sentences, p6_found, p6_packed, p7_found, p7_report, p7_copies, p8_found, p8_rated)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_groups, p3_found, p3_canonical, p4_found, p4_sentences, p5_found, p5_annotators, p5_agreement, p6_found, p6_packed, p7_found, p7_report, p7_copies, p8_found, p8_rated)}
 ORACLES: dict[str, str] = {}
