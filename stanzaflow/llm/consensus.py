@@ -73,7 +73,9 @@ class Consensus:
     def __init__(self, votes: DataFrame, options: tuple[str, ...] = OPTIONS, alpha: float = 2.0, beta: float | None = None, passes: int = 12, tolerance: float = 1e-3, most_annotators: int = 200_000) -> None:
         self.options, k = options, len(options)
         lists = votes.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("annotator", "label"))).alias("v"))
-        self.items = materialise(lists.select("item", F.col("v.annotator").alias("who"), F.col("v.label").alias("said")))
+        items = lists.select("item", F.col("v.annotator").alias("who"), F.col("v.label").alias("said"))
+        # small rows, much arithmetic: spread them over all tasks rather than by their bytes
+        self.items = materialise(items.repartition(int(votes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
         sizes = self.items.select(F.explode("who").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         names = sizes.orderBy("a").limit(most_annotators + 1).collect()
         if len(names) > most_annotators:
