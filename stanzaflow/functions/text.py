@@ -95,7 +95,7 @@ def content_keys(c: Column) -> dict[str, Column]:
 
 def int_list(c: Column) -> Column:
     """"0|5|9" or "0,5" -> [0, 5, 9]; parts that are no integers are dropped (O-F29)."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"[|,]"), F.trim)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"[|,]"), lambda x: F.trim(x))
     return F.transform(F.filter(parts, lambda x: x.rlike(r"^-?\d+$")), lambda x: x.cast("int"))
 
 

@@ -27,9 +27,9 @@ def normal_p(z: float) -> float:
 
 def rate_ratio(df: DataFrame, by: list[str], k: str, exposure: str, period: str, before: str, after: str, cluster: str) -> DataFrame:
     """Poisson rate ratio after / before with cluster-robust error (O-M04): with one binary regressor the likelihood's maximum is the ratio of
-    the two rates, and the sandwich follows from each cluster's residual sums. Entirely in SQL."""
+    the two rates (rows need a positive exposure), and the sandwich follows from each cluster's residual sums. Entirely in SQL."""
     side = lambda p, c: F.sum(F.when(F.col(period) == p, F.col(c)).otherwise(0).cast("double"))
-    per = df.filter(F.col(period).isin(before, after)).groupBy(*by, cluster).agg(side(before, k).alias("k1"), side(after, k).alias("k2"), side(before, exposure).alias("e1"), side(after, exposure).alias("e2"), F.count(F.lit(1)).alias("rows"))
+    per = df.filter(F.col(period).isin(before, after) & (F.col(exposure) > 0)).groupBy(*by, cluster).agg(side(before, k).alias("k1"), side(after, k).alias("k2"), side(before, exposure).alias("e1"), side(after, exposure).alias("e2"), F.count(F.lit(1)).alias("rows"))
     tot = per.groupBy(*by).agg(*[F.sum(c).alias(f"t{c}") for c in ("k1", "k2", "e1", "e2")], F.count(F.lit(1)).alias("n_clusters"), F.sum("rows").alias("n"))
     j = per.join(tot, by)
     r1, r2 = F.col("k1") - F.col("e1") * F.col("tk1") / F.col("te1"), F.col("k2") - F.col("e2") * F.col("tk2") / F.col("te2")
@@ -45,8 +45,9 @@ def rate_ratio(df: DataFrame, by: list[str], k: str, exposure: str, period: str,
 def author_shifts(df: DataFrame, author: str, k: str, exposure: str, period: str, before: str, after: str) -> DataFrame:
     """Fixed effects author x period (O-M07): the saturated design's coefficients are log rate shifts per author, with HC3 errors from the
     leverages (mu over the cell's sum of mu)."""
-    cell = df.filter(F.col(period).isin(before, after)).groupBy(author, period).agg(F.sum(k).alias("K"), F.sum(exposure).alias("E"))
-    j = df.filter(F.col(period).isin(before, after)).join(cell, [author, period])
+    used = df.filter(F.col(period).isin(before, after) & (F.col(exposure) > 0))
+    cell = used.groupBy(author, period).agg(F.sum(k).alias("K"), F.sum(exposure).alias("E"))
+    j = used.join(cell, [author, period])
     mu = F.col(exposure) * F.col("K") / F.col("E")
     r = (F.col(k) - mu) / (1 - mu / F.col("K"))
     v = j.filter((F.col("K") > 0) & (F.col("E") > 0)).groupBy(author, period).agg(F.first("K").alias("K"), F.first("E").alias("E"), F.sum(F.when(mu < F.col("K"), r * r).otherwise(0.0)).alias("m"))
@@ -384,7 +385,7 @@ def wild_bootstrap(df: DataFrame, by: list[str], k: str, exposure: str, period:
     """Wild cluster bootstrap p of the log rate ratio (O-B05, O-B10): Rademacher signs per cluster flip the residual sums of both periods;
     each refit is closed-form, so draws are matrix products over one row per cluster. Counts are kept positive before a refit."""
     side = lambda p, c: F.sum(F.when(F.col(period) == p, F.col(c)).otherwise(0).cast("double"))
-    per = df.filter(F.col(period).isin(before, after)).groupBy(*by, cluster).agg(side(before, k).alias("k1"), side(after, k).alias("k2"), side(before, exposure).alias("e1"), side(after, exposure).alias("e2"))
+    per = df.filter(F.col(period).isin(before, after) & (F.col(exposure) > 0)).groupBy(*by, cluster).agg(side(before, k).alias("k1"), side(after, k).alias("k2"), side(before, exposure).alias("e1"), side(after, exposure).alias("e2"))
     ship(df.sparkSession)
     dtype = {f.name: f.dataType.simpleString() for f in df.schema if f.name in by}
 
@@ -410,7 +411,7 @@ def wild_bootstrap(df: DataFrame, by: list[str], k: str, exposure: str, period:
 def poem_bootstrap(df: DataFrame, author: str, k: str, exposure: str, period: str, before: str, after: str, draws: int = 1000, seed: int = 42, smooth: float = 0.5) -> DataFrame:
     """Within-author bootstrap of the log rate shift (O-B07). Poems are pooled by (count, exposure) before the draws, which become
     multinomial counts, so a hot author's rows never meet in one task."""
-    pooled = df.filter(F.col(period).isin(before, after)).groupBy(author, period, F.col(k).cast("double").alias("k"), F.col(exposure).cast("double").alias("e")).agg(F.count(F.lit(1)).alias("m"))
+    pooled = df.filter(F.col(period).isin(before, after) & (F.col(exposure) > 0)).groupBy(author, period, F.col(k).cast("double").alias("k"), F.col(exposure).cast("double").alias("e")).agg(F.count(F.lit(1)).alias("m"))
     ship(df.sparkSession)
     dtype = dict(df.dtypes)[author]
 

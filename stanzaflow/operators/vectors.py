@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,8 +82,13 @@ def procrustes(pairs: DataFrame, a: str, b: str) -> np.ndarray:
 
 
 def rotated(v: Column, r: np.ndarray) -> Column:
-    """A vector times the matrix, in the JVM."""
-    return F.array(*[dot(v, F.array(*[F.lit(float(x)) for x in r[:, j]])) for j in range(r.shape[1])])
+    """A vector times the matrix, in Arrow batches."""
+
+    def turn(batch: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else np.asarray(v, float) @ r for v in batch], index=batch.index, dtype=object)
+
+    turn.__annotations__ = {"batch": pd.Series, "return": pd.Series}
+    return F.pandas_udf(turn, "array<double>")(v)
 
 
 def drift(pairs: DataFrame, word: str, a: str, b: str) -> DataFrame:

@@ -59,7 +59,7 @@ def _rates(spark: SparkSession, sf_dir: str, exposure: str) -> DataFrame:
 
 def _sql_rates(exposure: str) -> str:
     return f"""{SQL_PT}, s AS (SELECT * FROM pt, (VALUES ('pooled_Ukrainian_Russian'), ('Ukrainian'), ('Russian')) v(stratum) WHERE language IN ('Ukrainian', 'Russian') AND (stratum = language OR stratum LIKE 'pooled%')),
- l AS (SELECT stratum, author, period3, {exposure} AS e, unnest(['1sg','1pl','2sg','2pl']) AS cell, unnest(["1sg","1pl","2sg","2pl"]) AS k FROM s WHERE period3 <> 'unknown'),
+ l AS (SELECT stratum, author, period3, {exposure} AS e, unnest(['1sg','1pl','2sg','2pl']) AS cell, unnest(["1sg","1pl","2sg","2pl"]) AS k FROM s WHERE period3 <> 'unknown' AND {exposure} > 0),
  per AS (SELECT stratum, cell, author, coalesce(sum(k::DOUBLE) FILTER (period3 LIKE 'P1%'), 0) AS k1, coalesce(sum(k::DOUBLE) FILTER (period3 LIKE 'P2%'), 0) AS k2, coalesce(sum(e::DOUBLE) FILTER (period3 LIKE 'P1%'), 0) AS e1, coalesce(sum(e::DOUBLE) FILTER (period3 LIKE 'P2%'), 0) AS e2, count(*) AS r FROM l GROUP BY ALL),
  tot AS (SELECT stratum, cell, sum(k1) AS tk1, sum(k2) AS tk2, sum(e1) AS te1, sum(e2) AS te2, count(*) AS g, sum(r)::BIGINT AS n FROM per GROUP BY ALL),
  v AS (SELECT stratum, cell, sum(pow((k2 - e2 * tk2 / te2) / tk2 - (k1 - e1 * tk1 / te1) / tk1, 2)) AS v FROM per JOIN tot USING (stratum, cell) GROUP BY ALL),
@@ -99,8 +99,8 @@ def author_period_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(counts.rate_per(poem_table(spark, sf_dir).filter("author is not null"), ["author", "period3"], "1sg", "n_stanzas"))
 
 
-@query(f"""WITH {SQL_PT}, f AS (SELECT author, period3, sum("1sg")::DOUBLE AS K, sum(n_stanzas)::DOUBLE AS E FROM pt WHERE author IS NOT NULL AND period3 <> 'unknown' GROUP BY ALL),
- v AS (SELECT author, period3, max(K) AS K, max(E) AS E, sum(CASE WHEN n_stanzas * K / E < K THEN pow(("1sg" - n_stanzas * K / E) / (1 - n_stanzas / E), 2) ELSE 0.0 END) AS m FROM pt JOIN f USING (author, period3) WHERE K > 0 AND E > 0 GROUP BY ALL),
+@query(f"""WITH {SQL_PT}, f AS (SELECT author, period3, sum("1sg")::DOUBLE AS K, sum(n_stanzas)::DOUBLE AS E FROM pt WHERE author IS NOT NULL AND period3 <> 'unknown' AND n_stanzas > 0 GROUP BY ALL),
+ v AS (SELECT author, period3, max(K) AS K, max(E) AS E, sum(CASE WHEN n_stanzas * K / E < K THEN pow(("1sg" - n_stanzas * K / E) / (1 - n_stanzas / E), 2) ELSE 0.0 END) AS m FROM pt JOIN f USING (author, period3) WHERE K > 0 AND E > 0 AND n_stanzas > 0 GROUP BY ALL),
  w AS (SELECT author, max(K) FILTER (period3 LIKE 'P1%') AS K1, max(E) FILTER (period3 LIKE 'P1%') AS E1, max(m) FILTER (period3 LIKE 'P1%') AS m1, max(K) FILTER (period3 LIKE 'P2%') AS K2, max(E) FILTER (period3 LIKE 'P2%') AS E2, max(m) FILTER (period3 LIKE 'P2%') AS m2 FROM v GROUP BY author)
  SELECT author, round(ln((K2 / E2) / (K1 / E1)), 6) AS shift, round(sqrt(m1 / (K1 * K1) + m2 / (K2 * K2)), 6) AS se, K1::BIGINT AS k_before, K2::BIGINT AS k_after FROM w WHERE K1 IS NOT NULL AND K2 IS NOT NULL""")
 def author_fixed_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
