@@ -83,9 +83,8 @@ class Consensus:
         self.index = {r["a"]: i for i, r in enumerate(names)}
         self.counts = [r["n"] for r in names]
         n_items = self.items.count()
-        n_votes = sum(self.counts)
         # items have far fewer labels than annotators, so their parameters are held the more tightly
-        self.beta = beta if beta is not None else alpha * max(1.0, (n_votes / max(1, len(names))) / (n_votes / max(1, n_items)) / 25)
+        self.beta = beta if beta is not None else alpha * max(1.0, n_items / max(1, len(names)) / 25)
         self.alpha = alpha
         self.prior = np.full(k, 1 / k)
         self.sigma = np.zeros((len(names), k, k))

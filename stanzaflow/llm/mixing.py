@@ -61,7 +61,7 @@ class Mix:
         supply = self.docs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()
         self.supply = {r["source"]: r["tokens"] or 0 for r in supply}
         self.size = sum(self.supply.values()) if size is None else size
-        self.plan = {s: plan_source(share * self.size, self.supply.get(s, 0), repeats) for s, (share, repeats) in self.targets.items()}
+        self.plan = {s: plan_source(share * self.size, self.supply[s], repeats) if self.supply.get(s) else (0, 0.0, share <= 0) for s, (share, repeats) in self.targets.items()}
         self._draw()
 
     def _draw(self) -> None:

@@ -58,7 +58,7 @@ class Packer:
         while left:
             space, place = cap, 0
             while left:
-                pick = self._pick(queues, order, waiting, sizes, space)
+                pick = self._pick(queues, order, waiting, sizes, space, place)
                 if pick is None:
                     break
                 s, i = pick
@@ -75,8 +75,9 @@ class Packer:
             self.deficit[s] = self.deficit.get(s, 0.0) + w * n
         self.deficit[source] = self.deficit.get(source, 0.0) - n
 
-    def _pick(self, queues: dict, order: dict, waiting: dict, sizes: dict, space: int) -> tuple | None:
-        """The next document of the queue that is owed most; where it does not fit, the queue's largest that does; else the next queue's.
+    def _pick(self, queues: dict, order: dict, waiting: dict, sizes: dict, space: int, place: int) -> tuple | None:
+        """The next document of the queue that is owed most, at the start of a window its largest, so that large ones are not left over;
+        where the next one does not fit, the queue's largest that does; else the next queue's.
         Once a window is nearly full the largest fitting document of all queues closes it best."""
         ranked = sorted((s for s in queues if sizes[s]), key=lambda s: (-self.deficit.get(s, 0.0), s is None, s or ""))
         if space <= self.capacity // 8:
@@ -90,7 +91,7 @@ class Packer:
             q, w = queues[s], waiting[s]
             while order[s] < len(q) and not w[order[s]]:
                 order[s] += 1
-            if order[s] < len(q) and q[order[s]][0] <= space:
+            if place and order[s] < len(q) and q[order[s]][0] <= space:
                 return s, order[s]
             k = bisect_right(sizes[s], (space, math.inf)) - 1
             if k >= 0:

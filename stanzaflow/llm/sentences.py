@@ -43,6 +43,7 @@ _CYRILLIC = re.compile(r"[\u0400-\u04ff]")
 _WORD = re.compile(r"[^\W_][\ẁ-ͯऀ-ॿ’'-]*")
 _COUNT = re.compile(r"([^\W_][\ẁ-ͯऀ-ॿ’'-]*)(\.?)")
 _INNER = re.compile(r"(?:(?<=[^\W\d_] )|(?<=[^\W\d_], ))(?=[^\W\d_a-zа-яєіїґ])[^\W\d_][\w’-]+")
+_VOWEL = re.compile("[aeiouyąęóäöüıаеиоуыэюяєіїё]")
 _ALNUM = re.compile(r"[^\W_]")
 _DEVA = re.compile(r"[ऀ-ॿ]")
 _CASELESS = re.compile(r"[ऀ-ॿ⺀-鿿]")
@@ -292,7 +293,8 @@ class Segmenter:
             total, dotted, goes_on = by["t"].get(key, 0), by["d"].get(key, 0), by["x"].get(key, 0)
             own_word = goes_on >= max(2, 0.2 * dotted)  # met without its full stop too, but that often goes on
             share = 0.4 if after > 2 and low + start == 0 else 0.85  # less is asked before a word only met after such words
-            if not own_word and (dotted <= share * total or key in doc.bare):
+            rare = total < 4 and not goes_on and _VOWEL.search(key)  # too few occurrences to tell it from a short last word
+            if not own_word and (rare or dotted <= share * total or key in doc.bare):
                 return True
         if c.nx.isdigit():
             return number
