@@ -95,3 +95,20 @@ def ngrams(words: Column, n: int) -> Column:
     """n-grams of a word array, joined by blanks (O-C11)."""
     at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1))
     return F.when(F.size(words) >= n, F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def topics(df: DataFrame, key: str, words: str, k: int = 10, least: int = 3, terms: int = 3, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(key with its leading topic and weight, topic labels) from words and their pairs (O-C10, O-C11). Spark has no density clustering of
+    sentence embeddings; latent Dirichlet allocation over terms of at least ``least`` documents stands in, labelled by its leading terms."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.functions import vector_to_array
+
+    both = df.select(key, F.concat(F.col(words), ngrams(F.col(words), 2)).alias("_t"))
+    counted = CountVectorizer(inputCol="_t", outputCol="_v", minDF=float(least)).fit(both)
+    model = LDA(featuresCol="_v", k=k, seed=seed, maxIter=10).fit(counted.transform(both))
+    share = model.transform(counted.transform(both)).select(key, vector_to_array("topicDistribution").alias("_d"))
+    best = share.select(key, (F.array_position("_d", F.array_max("_d")) - 1).cast("int").alias("topic"), F.array_max("_d").alias("weight"))
+    vocabulary = counted.vocabulary
+    rows = [(r["topic"], ", ".join(vocabulary[i] for i in r["termIndices"])) for r in model.describeTopics(terms).collect()]  # k rows
+    return best, df.sparkSession.createDataFrame(rows, "topic int, label string")

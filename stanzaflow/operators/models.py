@@ -474,3 +474,15 @@ def posterior_summary(draws: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, 95 % interval, P(> 0) and the risk of a false sign of posterior draws (O-M21, O-R05)."""
     pos = F.avg((F.col(value) > 0).cast("double"))
     return draws.groupBy(*by).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"), pos.alias("p_positive"), F.least(pos, 1 - pos).alias("false_sign_risk"))
+
+
+def canonical_term(name: str) -> str:
+    """One name for a model term, however an engine spells levels, references and interactions (O-M12):
+    ``C(period)[T.post]`` becomes ``period=post``, factors of an interaction come in alphabetical order."""
+    import re
+
+    parts = []
+    for p in re.split(r"\s*[:*]\s*(?![^\[]*\])", name.strip()):
+        m = re.fullmatch(r"C?\(?(\w+?)(?:,.*)?\)?\[(?:T\.)?([^\]]+)\]", p)
+        parts.append(f"{m[1]}={m[2]}" if m else p)
+    return ":".join(sorted(parts)) if parts != ["(Intercept)"] and parts != ["Intercept"] else "intercept"

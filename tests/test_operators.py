@@ -278,3 +278,12 @@ def test_stage_order():
     r.add(Stage("f", lambda s, x: None, ("e",)))
     with pytest.raises(ValueError, match="need each other"):
         r.order(["e"])
+
+
+def test_terms_and_topics(spark):
+    assert models.canonical_term("C(period)[T.post]") == "period=post" and models.canonical_term("(Intercept)") == "intercept"
+    assert models.canonical_term("number:C(period, Treatment('pre'))[T.post]") == models.canonical_term("C(period)[T.post]:number")
+    d = spark.createDataFrame([(i, ["сніг", "дим", "ліс"] if i % 2 else ["road", "sea", "boat"]) for i in range(20)], "k int, w array<string>")
+    best, labels = colloc.topics(d, "k", "w", k=2)
+    got = dict(best.select("k", "topic").collect())
+    assert len({got[i] for i in range(0, 20, 2)}) == 1 and got[0] != got[1] and labels.count() == 2
