@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import materialise, ship
 
 
 def normal_p(z: float) -> float:
@@ -117,7 +117,7 @@ class Glm:
         self.names, self.family, self.alpha = ["intercept", *predictors], family, dispersion
         zero, one = F.lit(0.0), F.lit(1.0)
         rows = df.select(F.col(y).cast("double").alias("_y"), (F.log(offset) if offset else zero).alias("_o"), (F.col(trials).cast("double") if trials else one).alias("_n"), *[F.col(p).cast("double").alias(f"_x{i}") for i, p in enumerate(predictors)], *([F.col(cluster).alias("_c")] if cluster else []))
-        self.rows = rows.dropna()
+        self.rows = materialise(rows.dropna())  # a few numbers a row, read once an iteration
         self.columns = ["_y", "_o", "_n", *[f"_x{i}" for i in range(len(predictors))]]
         p = len(self.names)
         self.beta = np.zeros(p)
@@ -197,6 +197,7 @@ class Glm:
 
 def negative_binomial(df: DataFrame, y: str, predictors: list[str], offset: str | None = None, cluster: str | None = None, grid: tuple[float, ...] = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0)) -> Glm:
     """Dispersion by profile likelihood over a grid, refined once (O-M05)."""
+    df = materialise(df.select(*dict.fromkeys([y, *predictors, *filter(None, (offset, cluster))])))
     def loglik(a: float) -> float:
         g = Glm(df, y, predictors, offset=offset, dispersion=a)
 
@@ -273,7 +274,7 @@ def conditional_logit(df: DataFrame, group: str, k: str, n: str, x: list[str], i
     normaliser and its derivatives from a dynamic programme over the group's rows. Groups without variation drop out."""
     p = len(x)
     beta = np.zeros(p)
-    rows = df.groupBy(group, *x).agg(F.sum(k).alias("_k"), F.sum(n).alias("_n"))  # equal covariates pool: a group has few distinct rows
+    rows = materialise(df.groupBy(group, *x).agg(F.sum(k).alias("_k"), F.sum(n).alias("_n")))  # equal covariates pool: a group has few distinct rows
     ship(df.sparkSession)
     info = np.full((p, p), np.nan)
     for _ in range(iterations):

@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="stanzaflow-")
     return _OWN_DIRS[app]
