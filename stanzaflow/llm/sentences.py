@@ -59,10 +59,10 @@ def fold(word: str, cyrillic: bool) -> str:
     if key is None:
         if len(keys) > 100_000:
             keys.clear()
-        key = word.lower()
-        if not key.isascii():
-            key = unicodedata.normalize("NFC", key)
-        keys[word] = key = key.translate(_FOLD) if cyrillic else key
+        key = word if word.isascii() else unicodedata.normalize("NFC", word)
+        if cyrillic and (_CYRILLIC.search(key) or all(ord(c) in _FOLD for c in key)):  # a word of another script stays as it is
+            key = key.translate(_FOLD)
+        keys[word] = key = key.lower()
     return key
 
 
@@ -137,7 +137,7 @@ def prepare(text: str) -> tuple[str, list[int] | None]:
 
 def evidence(texts: Iterable[str]) -> Counter:
     """Counts by (kind, key). l, t, d: lower-case, all and dotted occurrences of a word; x: dotted before what no sentence
-    starts with; s: clear sentence starts, a: capital after a short dotted word; c, o: a word continues or opens after a mark
+    starts with; s: clear sentence starts, a: capital after a short dotted word, b: the two words; c, o: a word continues or opens after a mark
     (by context); f, g: a caseless fragment after a closing quote or elsewhere."""
     n: Counter = Counter()
     both: Counter = Counter()
@@ -167,6 +167,7 @@ def evidence(texts: Iterable[str]) -> Counter:
                         n["x", fold(c.prev, cyrillic)] += 1
                     elif c.nx.isupper() and c.prev and (len(c.prev) <= 4 or "." in c.prev or c.prev[-1].isdigit()):
                         n["a", c.key] += 1
+                        n["b", f"{fold(c.prev, cyrillic)} {c.key}"] += 1
                     elif c.nx.isupper() and not blind:
                         n["s", c.key] += 1
                 elif c.key and not blind and block[c.rest] not in "—–-":
@@ -207,10 +208,18 @@ class Segmenter:
     """``spans(text)`` gives (start, end) of each sentence in the stored text; ``counts`` as from ``evidence``."""
 
     def __init__(self, counts: dict[tuple[str, str], int]) -> None:
-        by: dict[str, dict[str, int]] = {k: {} for k in "ltdxsacofg"}
+        by: dict[str, dict[str, int]] = {k: {} for k in "ltdxsabcofg"}
         for (kind, key), n in counts.items():
             by[kind][key] = n
         self.by = by
+        # how often a dotted word is followed by words that also begin sentences, rather than by names
+        self.opens: dict[str, float] = {}
+        seen: dict[str, list[int]] = {}
+        for pair, n in by["b"].items():
+            prev, _, nx = pair.partition(" ")
+            both = seen.setdefault(prev, [0, 0])
+            both[by["l"].get(nx, 0) + by["s"].get(nx, 0) > by["a"].get(nx, 0)] += n
+        self.opens = {k: yes / (yes + no) for k, (no, yes) in seen.items()}
 
     def spans(self, text: str | None) -> list[tuple[int, int]]:
         if not text:
@@ -286,6 +295,8 @@ class Segmenter:
         inner = "." in prev and not number
         if not number and not inner and (len(prev) > 5 or not prev.isalpha()):
             return True
+        if len(c.key) == 1 and len(prev) == 1 and c.dotted:
+            return False  # z. B., initials
         key = fold(prev, doc.cyrillic)
         initial = len(prev) == 1 and prev.isupper()
         low, start, after = by["l"].get(c.key, 0), by["s"].get(c.key, 0), by["a"].get(c.key, 0)
@@ -300,8 +311,8 @@ class Segmenter:
             return number
         if not c.key:
             return True
-        if len(c.key) == 1 and len(prev) == 1 and c.dotted:
-            return False
+        if low + start + after <= 2 and c.key not in doc.lower and key in self.opens:
+            return self.opens[key] > 0.5  # an unknown word, a misspelt one mostly
         if low + start <= after * 5 and low <= after:
             if c.key in doc.lower:
                 low += after + 1
