@@ -29,7 +29,9 @@ from .lookalike import APOSTROPHES, LATIN_CYRILLIC, LATIN_GREEK, invisible
 # Last characters of reporting clauses in scripts without case (said, asked, answered, shouted).
 SPEECH_ENDS = ("说", "問", "问", "道", "答", "喊", "पूछा", "कहा", "बोला", "बोली")
 
-_FOLD = str.maketrans({a: b for a, b in LATIN_CYRILLIC.split()} | {b: dict(LATIN_CYRILLIC.split()).get(a, a) for a, b in LATIN_GREEK.split()})
+_FOLD = str.maketrans(dict(LATIN_CYRILLIC.split()) | {b: dict(LATIN_CYRILLIC.split()).get(a, a) for a, b in LATIN_GREEK.split()})
+_TO_LATIN = str.maketrans({b: a for a, b in (LATIN_CYRILLIC + " " + LATIN_GREEK).split()})
+_LATIN_ONLY = re.compile("[bfgklmnrtuvzDFGLRUVYZąęłńśźżçğşñöüäß]")
 _HIDDEN = {k for k in range(0xA0, 0x10000) if invisible(chr(k))}
 _SHAPE = {k: " " for k in range(0xA0, 0x3100) if unicodedata.category(chr(k)) == "Zs"} | {k: chr(k - 0xFEE0) for k in range(0xFF01, 0xFF5F)} | {ord(c): "’" for c in APOSTROPHES if c != "'"} | {0x2010: "-", 0x2011: "-", 0xFF61: "。"}
 _TABLE = _SHAPE | {k: None for k in _HIDDEN}
@@ -60,8 +62,11 @@ def fold(word: str, cyrillic: bool) -> str:
         if len(keys) > 100_000:
             keys.clear()
         key = word if word.isascii() else unicodedata.normalize("NFC", word)
-        if cyrillic and (_CYRILLIC.search(key) or all(ord(c) in _FOLD for c in key)):  # a word of another script stays as it is
-            key = key.translate(_FOLD)
+        if cyrillic or not key.isascii():
+            if _LATIN_ONLY.search(key):  # a letter that only Latin has: twins of other scripts are read as Latin
+                key = key.translate(_TO_LATIN)
+            elif cyrillic:
+                key = key.translate(_FOLD)
         keys[word] = key = key.lower()
     return key
 
