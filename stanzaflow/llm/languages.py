@@ -29,12 +29,12 @@ from .sentences import Segmenter, prepare
 LANGUAGES = ("uk", "ru", "be", "pl", "en", "de", "crh", "hi", "zh")
 NAMES = {
     "uk": ("uk", "ua", "укр"),
-    "ru": ("ru", "рус", "рос"),
-    "be": ("be", "by", "бел", "біл"),
+    "ru": ("ru", "ros", "рус", "рос"),
+    "be": ("be", "bia", "by", "wei", "бел", "біл"),
     "pl": ("pol", "pl", "пол"),
     "en": ("en", "ang", "анг"),
-    "de": ("de", "ger", "ne", "нем", "нім"),
-    "crh": ("qir", "qır", "crh", "cri", "crimean", "kır", "kirim", "кри", "къ", "qt"),
+    "de": ("de", "ger", "ne", "niem", "нем", "нім"),
+    "crh": ("qir", "qır", "crh", "cri", "kır", "kirim", "krim", "krym", "кри", "къ", "qt"),
     "hi": ("hi", "हि", "гін", "хин"),
     "zh": ("zh", "chi", "cn", "中", "汉", "漢", "кит"),
 }
