@@ -4,7 +4,9 @@ Method: robust Mahalanobis distance from language-specific prose mean and covari
 contribution. Character classes, words and lines are counted for whole Arrow batches in numpy. As "the greater part" of a text decides, the
 ratios enter the distance as medians over its lines, weighted by their length; the plain per-document figures come out beside them.
 Mean and covariance are concentrated (as in the minimum covariance determinant): medians and deviations start it, then each step refits on
-the ``keep`` share of each language's documents nearest to it. Each step is an aggregate; only (language x statistic) sums reach the driver.
+the ``keep`` share of each language's distinct vectors nearest to it, so copies count once and up to half of a language may be junk. The
+covariance of the nearest half is carried to that of the nearest three quarters, the scale of ``cutoff``. Each step is an aggregate; only
+(language x statistic) sums reach the driver.
 
 A document's language here is the one whose common words cover most of its text; common words are those with the highest document frequency
 among documents labelled with the language against all others, counted over the whole corpus.
@@ -15,6 +17,7 @@ is rated once; a language with fewer than ``least`` documents is measured agains
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterable
 
@@ -308,12 +311,12 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text", label: st
     return map_rows(df.select(F.col(key).cast("bigint"), F.col(text)), make, "doc_key bigint, lang string, n_words bigint, n_lines bigint, n_chars bigint, mean_word_length double, symbol_ratio double, digit_ratio double, end_mark_ratio double, common_ratio double, vector array<double>")
 
 
-BINS = 64
+BINS = 144
 _TRI = np.triu_indices(len(NAMES))
 
 
 def _bin(d2: np.ndarray) -> np.ndarray:
-    """Logarithmic bins of the squared distance, sixteenth powers of two from 1/4 up."""
+    """Logarithmic bins of the squared distance, six to a power of two from 1/4 up; the last begins at about 4 million."""
     return np.clip(np.log2(np.maximum(d2, 0.25) * 4) * 6, 0, BINS - 1).astype(np.int32)
 
 
@@ -333,10 +336,20 @@ class Model:
         return part.sum(1), part
 
 
-def fit(stats: DataFrame, keep: float = 0.75, steps: int = 3, least: int = 30) -> Model:
-    """Concentration steps over all documents; what reaches the driver is (languages + 1) x bins rows of sums."""
-    used = stats.filter("vector is not null and n_words > 0").select("lang", "vector")
-    grouped = used.select("lang", "vector").unionByName(used.select(F.lit("").alias("lang"), "vector")).filter("lang is not null")
+def _shrinkage(keep: float) -> float:
+    """Share of a normal distribution's variance that its nearest ``keep`` share has (0 < keep < 1)."""
+    below = lambda x, half: 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(half))  # noqa: E731  # chi-square of 2 * half degrees
+    half, lo, hi = len(NAMES) // 2, 0.0, 200.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if below(mid, half) < keep else (lo, mid)
+    return below(lo, half + 1) / keep
+
+
+def fit(stats: DataFrame, keep: float = 0.5, steps: int = 5, least: int = 30) -> Model:
+    """Concentration steps over all distinct vectors; what reaches the driver is (languages + 1) x bins rows of sums."""
+    used = stats.filter("vector is not null and n_words > 0").select("lang", "vector").distinct()
+    grouped = materialise(used.unionByName(used.select(F.lit("").alias("lang"), "vector").distinct()).filter("lang is not null"))
     quart = [F.percentile_approx(F.col("vector")[i], [0.25, 0.5, 0.75], 1000).alias(n) for i, n in enumerate(NAMES)]
     start = grouped.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *quart).collect()
     centre, precision = {}, {}
@@ -372,25 +385,26 @@ def _step(grouped: DataFrame, model: Model, keep: float) -> Model:
     parts = map_rows(grouped, make, "g string, bin int, n bigint, s array<double>, p array<double>")
     sums = [F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(k)] + [F.sum(F.col("p")[i]).alias(f"p{i}") for i in range(tri)]
     rows = parts.groupBy("g", "bin").agg(F.sum("n").alias("n"), *sums).collect()
-    centre, precision = {}, {}
+    centre, precision, scale = {}, {}, _shrinkage(0.75) / _shrinkage(keep)
     for g in model.centre:
         mine = sorted((r for r in rows if r["g"] == g), key=lambda r: r["bin"])
         total, n, s, p = sum(r["n"] for r in mine), 0, np.zeros(k), np.zeros(tri)
         for r in mine:
-            if n >= keep * total:
+            part = min(1.0, (keep * total - n) / r["n"])  # of the bin with the cut, the share that is still wanted
+            if part <= 0:
                 break
-            n += r["n"]
-            s += [r[f"s{i}"] for i in range(k)]
-            p += [r[f"p{i}"] for i in range(tri)]
+            n += part * r["n"]
+            s += part * np.array([r[f"s{i}"] for i in range(k)])
+            p += part * np.array([r[f"p{i}"] for i in range(tri)])
         mean = s / n
         second = np.zeros((k, k))
         second[_TRI] = p / n
         second = second + second.T - np.diag(second.diagonal())
-        centre[g], precision[g] = mean, np.linalg.inv(second - np.outer(mean, mean) + np.diag(FLOOR**2))
+        centre[g], precision[g] = mean, np.linalg.inv((second - np.outer(mean, mean)) * scale + np.diag(FLOOR**2))
     return Model(centre, precision)
 
 
-def rate(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", cutoff: float = 18.0, keep: float = 0.75) -> DataFrame:
+def rate(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", cutoff: float = 18.0, keep: float = 0.5) -> DataFrame:
     """Every document with its figures, ``distance`` (squared), the contribution of each statistic, the strongest one, and ``natural``.
 
     ``cutoff`` is asked of the squared distance; where little text is natural (blank, or no words at all) ``natural`` is false."""

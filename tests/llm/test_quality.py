@@ -41,3 +41,14 @@ def test_the_greater_part_decides(spark):
     rows = [(i, PROSE[i % 3] + f" Слово{i % 17} тут.", "uk") for i in range(300)] + [(900, prose + "\n- сніг\n- дим", "uk"), (901, "Вона знає нас.\n" + "| 1 | 2 | 3 |\n" * 20, "uk")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert {r["doc_id"] for r in Q.found(d).collect()} == {901}
+
+
+def test_a_third_of_junk_stays_junk(spark):
+    pool = [x + "." for t in PROSE for x in t.replace("\n", " ").rstrip(".").split(". ")] + ["Літо минає, і ми знову йдемо в гори", "Чому ти мовчиш, коли вона питає?", "Над містом довго стоїть тиха осіння ніч.", "Батько читає листи й не плаче.", "Хто там співає за рікою!"]
+    rng = np.random.default_rng(1)
+    prose = [(i, " ".join(rng.choice(pool, 3 + i % 4)), "uk") for i in range(200)]
+    log = lambda i: "\n".join(f"2021-03-{d:02} 19:06:{(i * d) % 60:02} знає rows={i * 37 % 991} ms={i * d}" for d in range(10, 16 + i % 5))
+    for junk in (lambda i: "вона знає, сніг, дим, кіт, лист, стіл, ніч, міст, пес, гай, день", log):
+        d = spark.createDataFrame(prose + [(1000 + i, junk(i), "uk") for i in range(100)], "doc_id bigint, text string, lang string")
+        got = {r["doc_id"] for r in Q.found(d).collect()}
+        assert len(got & set(range(1000, 1100))) == 100 and len(got) <= 102
