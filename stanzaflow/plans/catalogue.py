@@ -423,10 +423,10 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stanzas(spark, sf_dir).select("poem_id", "stanza_index", T.word_list(F.col("stanza"), _STOP).alias("ws"))
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str, least: int = 8) -> DataFrame:
     w = _words(spark, sf_dir)
     freq = w.select("poem_id", "stanza_index", F.explode(F.array_distinct("ws")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return colloc.edge_dice(colloc.cooccurrence(w, ["poem_id", "stanza_index"], "ws", 8), freq)
+    return colloc.edge_dice(colloc.cooccurrence(w, ["poem_id", "stanza_index"], "ws", least), freq)
 
 
 @query(f"WITH {_SQL_WORDS} SELECT poem_id, stanza_index, len(ws)::BIGINT AS n_words, array_to_string(list_sort(list_distinct(ws)), ' ') AS words FROM w")
@@ -454,6 +454,25 @@ def ego_second_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(colloc.second_order(e, colloc.ego(e, _FOCAL, 10)).select("a", "b", "n", "log_dice"))
 
 
+@query()
+def cooccurrence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-C04: all word pairs of stanzas, however rare."""
+    return _rounded(_edges(spark, sf_dir, 1).select("a", "b", "n", "log_dice"))
+
+
+@query()
+def ego_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-C05, O-L04: the 30 nearest neighbours over pairs of at least 3 stanzas."""
+    return _rounded(colloc.ego(_edges(spark, sf_dir, 3), _FOCAL, 30).select("focal", "neighbour", "n", "log_dice", "rank"))
+
+
+@query()
+def ego_network_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-C05: edges of at least 3 stanzas among the ego network's nodes."""
+    e = _edges(spark, sf_dir, 3)
+    return _rounded(colloc.second_order(e, colloc.ego(e, _FOCAL, 30)).select("a", "b", "n", "log_dice"))
+
+
 @query("""WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id AS neighbour, list_cosine_similarity(q.e::DOUBLE[], embeddings.embedding::DOUBLE[]) AS similarity FROM q, embeddings WHERE vec_id <> query)
  SELECT query, neighbour, round(similarity, 5) AS similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, neighbour) AS rank FROM s QUALIFY rank <= 10""")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
