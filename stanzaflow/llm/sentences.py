@@ -17,13 +17,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from ._rows import count_rows, map_rows
+from ._rows import _ARROW, count_rows, map_rows
 from .lookalike import APOSTROPHES, LATIN_CYRILLIC, LATIN_GREEK, invisible
 
 # Last characters of reporting clauses in scripts without case (said, asked, answered, shouted).
@@ -51,6 +52,8 @@ _DEVA = re.compile(r"[ऀ-ॿ]")
 _CASELESS = re.compile(r"[ऀ-ॿ⺀-鿿]")
 
 
+CHUNK = 2_000_000  # characters whose sentences are cut by one task at once
+
 _KEYS: dict[bool, dict[str, str]] = {True: {}, False: {}}  # words met before, bounded
 
 
@@ -213,7 +216,7 @@ class Segmenter:
     """``spans(text)`` gives (start, end) of each sentence in the stored text; ``counts`` as from ``evidence``."""
 
     def __init__(self, counts: dict[tuple[str, str], int]) -> None:
-        by: dict[str, dict[str, int]] = {k: {} for k in "ltdxsabcofg"}
+        by: dict[str, dict[str, int]] = {k: {} for k in "ltdxsabcofgyz"}
         for (kind, key), n in counts.items():
             by[kind][key] = n
         self.by = by
@@ -224,6 +227,8 @@ class Segmenter:
             prev, _, nx = pair.partition(" ")
             both = seen.setdefault(prev, [0, 0])
             both[by["l"].get(nx, 0) + by["s"].get(nx, 0) > by["a"].get(nx, 0)] += n
+        for k in by["y"].keys() | by["z"].keys():  # the same, already added up
+            seen[k] = [by["z"].get(k, 0), by["y"].get(k, 0)]
         self.opens = {k: yes / (yes + no) for k, (no, yes) in seen.items()}
 
     def spans(self, text: str | None) -> list[tuple[int, int]]:
@@ -326,48 +331,89 @@ class Segmenter:
         return low + start > after * (5 if initial else 1)
 
 
-def corpus_evidence(df: DataFrame, col: str = "text", min_share: float = 1 / 200_000) -> dict[tuple[str, str], int]:
-    """Evidence over the whole column. Keys with less than ``min_share`` of their kind's counts are left out, which bounds what is
-    collected (and sent to the workers) to a few hundred thousand keys at any corpus size; a rarer word has no say."""
+def asked(text: str | None) -> set[tuple[str, str]]:
+    """The (kind, key) that ``Segmenter.spans`` may look up for this text; y, z: see ``corpus_evidence``."""
+    out: set[tuple[str, str]] = set()
+    if not text:
+        return out
+    clean, _ = prepare(text)
+    cyrillic = _CYRILLIC.search(clean) is not None
+    for _, block in Segmenter._blocks(clean):
+        for c in _candidates(block, cyrillic):
+            if c.nx.islower():
+                continue
+            if c.cls == ".":
+                out.update((k, fold(c.prev, cyrillic)) for k in "tdxyz")
+                out.update((k, c.key) for k in "lsa")
+            else:
+                for key in (f"{c.cls} {c.whole} > {c.key}", f"{c.cls} {c.key} {_ending(block, c.rest)}", f"{c.cls} {c.key}"):
+                    out.update((("c", key), ("o", key)))
+                if c.cls == "q" and (_CASELESS.match(c.nx) or (c.prev and _CASELESS.match(c.prev[-1]))):
+                    f = _fragment(block, c.rest)
+                    out.update((("f", f), ("g", f)))
+    return out
+
+
+def corpus_evidence(df: DataFrame, col: str = "text") -> DataFrame:
+    """(kind, key, n) over the whole column, however rare. Pairs of words (b) are reduced to what is asked of them: y and z count, by the
+    word before, the pairs whose second word rather begins sentences and the other ones."""
     def make():
         return lambda texts: evidence(texts)
 
-    got = materialise(count_rows(df.select(F.col(col)), make, "kind string, key string"))
-    floor = F.lit(0.0)
-    for r in got.groupBy("kind").agg(F.sum("n").alias("n")).collect():  # ten kinds
-        floor = F.when(F.col("kind") == r["kind"], min_share * r["n"]).otherwise(floor)
-    used = got.filter((F.col("n") >= floor) & (F.length("key") > 0))
-    # of words never before or after a full stop only the ones that matter for the questions asked are kept
-    asked = used.filter(F.col("kind").isin("a", "x", "d")).select("key").distinct()
-    words = used.filter(F.col("kind").isin("l", "t", "d", "x", "s", "a")).join(asked, "key", "left_semi")
-    rest = used.filter(~F.col("kind").isin("l", "t", "d", "x", "s", "a"))
-    return {(r["kind"], r["key"]): r["n"] for r in words.unionByName(rest).select("kind", "key", "n").collect()}
+    got = materialise(count_rows(df.select(F.col(col)), make, "kind string, key string").filter("length(key) > 0"))
+    pick = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.col("n"))), F.lit(0))
+    begins = got.filter("kind in ('l', 's', 'a')").groupBy(F.col("key").alias("nx")).agg((pick("l", "s") > pick("a")).alias("begins"))
+    pairs = got.filter("kind = 'b'").select(F.substring_index("key", " ", 1).alias("key"), F.expr("substring(key, instr(key, ' ') + 1)").alias("nx"), "n")
+    kind = F.when(F.coalesce("begins", F.lit(False)), "y").otherwise("z").alias("kind")
+    opens = pairs.join(begins, "nx", "left").groupBy(kind, "key").agg(F.sum("n").alias("n"))
+    return got.filter("kind <> 'b'").unionByName(opens)
+
+
+def _segmented(df: DataFrame, key: str, col: str, row: Callable[[str, int, int, int, str], tuple], schema: str) -> DataFrame:
+    """``row(key, i, begin, end, text)`` of each sentence. Documents meet, in chunks of about ``CHUNK`` characters, the evidence that they
+    ask for: by joins, so no task holds more of the corpus counts than its chunk needs."""
+    docs = df.select(F.col(key).cast("string").alias("k"), F.col(col).alias("t"))
+    chars = docs.agg(F.sum(F.length("t"))).first()[0] or 0
+    docs = materialise(docs.withColumn("chunk", F.pmod(F.xxhash64("k", "t"), F.lit(chars // CHUNK + 1)).cast("int")).repartition("chunk"))
+
+    def make():
+        def work(chunks: list, texts: list) -> Iterable[tuple]:
+            need: dict[int, set] = {}
+            for c, t in zip(chunks, texts):
+                need.setdefault(c, set()).update(asked(t))
+            return ((c, *x) for c, keys in need.items() for x in keys)
+        return work
+
+    asks = map_rows(docs.select("chunk", "t"), make, "chunk int, kind string, key string")
+    known = asks.join(corpus_evidence(docs, "t"), ["kind", "key"]).select("chunk", "kind", "key", "n")
+    names, types = zip(*(x.strip().split(" ") for x in schema.split(",")))
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        seg = Segmenter(dict(zip(zip(right["kind"].to_pylist(), right["key"].to_pylist()), right["n"].to_pylist())))
+        rows = [row(k, i, a, b, t) for k, t in zip(left["k"].to_pylist(), left["t"].to_pylist()) for i, (a, b) in enumerate(seg.spans(t), 1)]
+        cols = list(zip(*rows)) or [()] * len(names)
+        return pa.table([pa.array(c, _ARROW[t]) for c, t in zip(cols, types)], names=list(names))
+
+    return docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(cut, schema)
 
 
 def sentences(df: DataFrame, key: str = "ID", col: str = "text", segmenter: Segmenter | None = None) -> DataFrame:
     """(doc_key, sentence_id, start_char, end_char, sentence) for every row with a key; positions are 1-based and inclusive."""
-    seg = segmenter or Segmenter(corpus_evidence(df, col))
+    schema = "doc_key string, sentence_id int, start_char int, end_char int, sentence string"
+    if segmenter is None:
+        return _segmented(df, key, col, lambda k, i, a, b, t: (k, i, a + 1, b, t[a:b]), schema)
 
     def make():
         def work(keys: list, texts: list) -> Iterable[tuple]:
             for k, t in zip(keys, texts):
-                for i, (a, b) in enumerate(seg.spans(t), 1):
+                for i, (a, b) in enumerate(segmenter.spans(t), 1):
                     yield k, i, a + 1, b, t[a:b]
         return work
 
-    return map_rows(df.select(F.col(key).cast("string"), F.col(col)), make, "doc_key string, sentence_id int, start_char int, end_char int, sentence string")
+    return map_rows(df.select(F.col(key).cast("string"), F.col(col)), make, schema)
 
 
 def found(poems: DataFrame) -> DataFrame:
     """p4_found: every sentence of every poem."""
-    seg = Segmenter(corpus_evidence(poems, "text"))
-
-    def make():
-        def work(keys: list, texts: list) -> Iterable[tuple]:
-            for k, t in zip(keys, texts):
-                for i, (_, b) in enumerate(seg.spans(t), 1):
-                    yield k, i, b
-        return work
-
-    rows = map_rows(poems.select(F.col("ID").cast("string"), "text").filter("ID is not null"), make, "poem_id string, sentence_id int, end_char int")
-    return rows.distinct()
+    rows = _segmented(poems, "ID", "text", lambda k, i, a, b, t: (k, i, b), "poem_id string, sentence_id int, end_char int")
+    return rows.filter("poem_id is not null").distinct()

@@ -57,3 +57,18 @@ def test_found(spark):
 
 def test_whole_long_text(seg):
     assert len(seg.spans("Сніг тане. Вона знає. " * 5000)) == 10000
+
+
+def test_rare_evidence_counts_in_a_large_corpus(spark):
+    rows = [(f"r{i}", "Сьогодні акад. Журавлик мовчить, і сніг тане у полі.") for i in range(5)]
+    rows += [(f"f{i}", "вона знає і мовчить у полі. " * 20000) for i in range(12)]  # more than 5 x 200,000 words
+    d = spark.createDataFrame(rows, "ID string, text string")
+    got = [tuple(r) for r in S.found(d).filter("poem_id like 'r%'").collect()]
+    assert sorted(got) == [(f"r{i}", 1, 52) for i in range(5)]
+
+
+def test_joined_evidence_is_the_whole_evidence(spark):
+    texts = [" ".join(f"На вул. Слово{i % 7} тане сніг. Вона знає{'!' if i % 2 else '?'} Він пише… І мовчить." for i in range(k, k + 6)) for k in range(40)] + ["「今天？」她说。他在桥上。好！"]
+    seg = S.Segmenter(S.evidence(texts))
+    want = {(str(k), i, b) for k, t in enumerate(texts) for i, (_, b) in enumerate(seg.spans(t), 1)}
+    assert {tuple(r) for r in S.found(spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "ID string, text string")).collect()} == want
