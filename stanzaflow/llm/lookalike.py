@@ -265,7 +265,7 @@ class Normaliser:
             if kind == "keep":
                 continue
             if kind == "?":
-                kind = self._from_context(text, words, kinds, spans, k) or self._from_corpus(w)
+                kind = self._from_context(text, words, kinds, spans, k) or self._from_corpus(w) or self._from_document(words, kinds)
                 if not kind:
                     continue
             if kind in self.autos and any(c in self.to[kind] for c in w):
@@ -291,6 +291,12 @@ class Normaliser:
                     break
         return min(found)[2] if found else ""
 
+    @staticmethod
+    def _from_document(words: list[str], kinds: list[str]) -> str:
+        """The script of most letters of the text's telling words."""
+        n = {s: sum(len(w) for w, k in zip(words, kinds) if k == s) for s in ("latin", "cyrillic")}
+        return "" if n["latin"] == n["cyrillic"] else max(n, key=lambda s: n[s])
+
     def _from_corpus(self, w: str) -> str:
         """The script of the more frequent spelling; without evidence a mixed word goes by most of its letters."""
         forms = {s: self.words.get(self._rewrite(w, self.autos[s]), 0) for s in ("latin", "cyrillic")}
@@ -314,17 +320,32 @@ def char_counts(df: DataFrame, col: str) -> dict[str, int]:
     return {chr(r["cp"]): r["n"] for r in count_rows(df.select(F.col(col)), make, "cp int").collect()}
 
 
+_TWINS = "".join(sorted({c for p in (LATIN_CYRILLIC + " " + LATIN_GREEK).split() for c in p}))
+_TWIN_WORD = re.compile(rf"(?<!\w)[{_TWINS}]+(?!\w)")
+
+
+def text_word_counts(df: DataFrame, col: str) -> dict[str, int]:
+    """Counts of words made only of twin letters in running text, however rare."""
+    def make():
+        def work(texts: list) -> dict:
+            out: dict = {}
+            for t in texts:
+                for w in _TWIN_WORD.findall(t or ""):
+                    out[(w,)] = out.get((w,), 0) + 1
+            return out
+        return work
+
+    return {r["w"]: r["n"] for r in count_rows(df.select(F.col(col)), make, "w string").collect()}
+
+
 def word_counts(df: DataFrame, col: str, min_share: float = 1 / 200_000) -> dict[str, int]:
     """Counts of words made only of twin letters, over all values. Values are counted before they reach Python. Words with less
     than ``min_share`` of all values are left out, which bounds the result to 1/min_share words at any corpus size."""
-    twins = "".join(sorted({c for p in (LATIN_CYRILLIC + " " + LATIN_GREEK).split() for c in p}))
-    pat = re.compile(rf"(?<!\w)[{twins}]+(?!\w)")
-
     def make():
         def work(values: list, ns: list) -> dict:
             out: dict = {}
             for v, n in zip(values, ns):
-                for w in pat.findall(v or ""):
+                for w in _TWIN_WORD.findall(v or ""):
                     out[(w,)] = out.get((w,), 0) + n
             return out
         return work
@@ -357,7 +378,7 @@ def normalise_column(df: DataFrame, key: str, col: str, norm: Normaliser) -> Dat
 
 def text_normaliser(df: DataFrame, col: str = "text") -> Normaliser:
     """A normaliser fitted on the whole column of running text."""
-    return Normaliser(char_counts(df, col))
+    return Normaliser(char_counts(df, col), text_word_counts(df, col))
 
 
 def value_normaliser(df: DataFrame, col: str) -> Normaliser:

@@ -62,3 +62,11 @@ def test_one_form_is_stable(text):
 
 def test_long_text(norm):
     assert norm.normalise("нa полі " * 20000) == "на полі " * 20000
+
+
+def test_one_word_sentence_of_twins(spark):
+    rows = [(str(i), "Снег идёт. Ах! Он молчит.") for i in range(5)] + [("p", "Снег идёт.\nAx! Он знает, и он молчит.")]
+    d = spark.createDataFrame(rows, "ID string, text string")
+    n = L.text_normaliser(d)
+    assert n.normalise(rows[5][1]) == n.normalise("Снег идёт.\nАх! Он знает, и он молчит.") and n.normalise(rows[5][1]).isascii() is False
+    assert n.normalise("Снег идёт. Ax. Он знает.") == n.normalise("Снег идёт. Ах. Он знает.")
