@@ -702,7 +702,7 @@ def binomial_glm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def negative_binomial_glm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-M05, O-M22."""
-    return _frame(spark, models.negative_binomial(_model_rows(spark, sf_dir), "k1", ["post"], offset="n_stanzas", cluster="author", grid=(0.1, 0.5, 1.0)))
+    return _frame(spark, models.negative_binomial(_model_rows(spark, sf_dir), "k1", ["post"], offset="n_stanzas", cluster="author"))
 
 
 @query()
@@ -731,11 +731,11 @@ def interrupted_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-M18, O-M16: change points of the yearly rate, with its smooth."""
+    """O-M18, O-M16 without their bootstraps: change points of the yearly rate, with its smooth."""
     import numpy as np
 
     s = poem_table(spark, sf_dir).filter("year is not null").groupBy(F.col("year").cast("int").alias("year")).agg((F.sum("1sg") / F.sum("n_stanzas")).alias("rate")).orderBy("year").toPandas()  # one row a year
-    cut = set(models.change_points(s["rate"].to_numpy(float), 0.5))
+    cut = set(models.change_points(s["rate"].to_numpy(float)))
     smooth = models.loess(s["year"].to_numpy(float), s["rate"].to_numpy(float), s["year"].to_numpy(float), 0.5) if len(s) > 2 else np.array(s["rate"])
     return spark.createDataFrame([(int(y), float(r), float(m), i in cut) for i, (y, r, m) in enumerate(zip(s["year"], s["rate"], smooth))], "year int, rate double, smooth double, starts_segment boolean")
 
@@ -745,7 +745,9 @@ def mixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-M19, O-M09: random intercepts per author, linear and binomial."""
     rows = _model_rows(spark, sf_dir).filter("n1p > 0").withColumn("share", F.col("k1") / F.col("n1p"))
     lin = models.random_intercept(rows, "author", "share", ["post"])
-    return spark.createDataFrame([("linear", k, float(v)) for k, v in lin["beta"].items()] + [("linear", "tau2", float(lin["tau2"])), ("linear", "sigma2", float(lin["sigma2"]))], "model string, term string, value double")
+    out = [("linear", k, float(v)) for k, v in lin["beta"].items()] + [("linear", "tau2", float(lin["tau2"])), ("linear", "sigma2", float(lin["sigma2"]))]
+    out += [("binomial", k, v) for k, v in models.binomial_intercepts(rows, "author", "k1", "n1p", "post").items()]
+    return spark.createDataFrame(out, "model string, term string, value double")
 
 
 @query()
