@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def build_session(app: str = "stanzaflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,20 +55,26 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stanzaflow-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _remove_later(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove_later(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended before
-            pass
-
-    atexit.register(remove)
+    atexit.register(_remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a materialised table that nothing reads any more; other frames are left alone."""
+    path = _PATHS.pop(df, None)
+    if path:
+        _remove(df.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended before
+        pass
 
 
 def ship(spark: SparkSession) -> None:
