@@ -14,7 +14,7 @@ from ..session import ship
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str) -> DataFrame:
     """Arrow batches through Python: ``make()`` is called once per task and returns a function of the batch's columns
     (as lists) that yields output tuples. One Python call per batch, not per row."""
-    names = [x.strip().split(" ", 1)[0] for x in schema.split(",")]
+    names = columns_of(schema)
     types = [_ARROW[x.strip().split(" ", 1)[1].strip()] for x in schema.split(",")]
     out = pa.schema([(n, t) for n, t in zip(names, types)])
 
@@ -57,4 +57,15 @@ def count_rows(df: DataFrame, make: Callable[[], Callable[..., dict]], keys: str
     return df.mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
+def columns_of(schema: str) -> list[str]:
+    return [x.strip().split(" ", 1)[0] for x in schema.split(",")]
+
+
+def arrow_table(rows: Iterable[tuple], schema: str) -> pa.Table:
+    """Rows as a table of the schema, also if there are none."""
+    names = columns_of(schema)
+    cols = list(zip(*rows)) or [()] * len(names)
+    return pa.table([pa.array(c, _ARROW[x.strip().split(" ", 1)[1].strip()]) for c, x in zip(cols, schema.split(","))], names=names)
+
+
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}

@@ -7,6 +7,9 @@ Classes come from Unicode's own data (compatibility forms, canonical composition
 from the fixed pairs below. Letters of different scripts share classes, so the script of the surrounding word, else of
 its neighbours in the sentence, else the more frequent spelling of the word in the corpus, says which member is meant.
 
+Corpus counts of words are a table. Only rows with a word that nothing else decides ask for them: these rows are kept apart and meet, in chunks of
+about ``CHUNK`` characters, the counts of the spellings that they ask for; no task and no driver holds the counts of the whole corpus.
+
 Defined cases: NULL stays NULL, empty text stays empty; texts of any length are read whole; repeated rows give repeated rows;
 an empty corpus leaves the fixed order of preference (NFKC-stable member first); other columns are never looked at.
 """
@@ -16,15 +19,17 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._rows import count_rows, map_rows
+from ..session import materialise
+from ._rows import arrow_table, columns_of, count_rows, map_rows
 
 # Letters of Latin and Cyrillic, Latin and Greek that look alike; apostrophes, hyphens; joined letters.
 LATIN_CYRILLIC = "aа cс eе iі jј oо pр sѕ xх yу hһ dԁ qԛ wԝ AА BВ CС EЕ HН IІ JЈ KК MМ OО PР SЅ TТ XХ YУ QԚ WԜ"
@@ -35,6 +40,7 @@ JOINED = "ьі ьı ьl"  # all three look like ы
 ORDINARY = "…—–’“”„«»№"  # typography that Unicode would decompose or that must stay
 
 LETTERS = {"latin", "cyrillic", "greek"}  # scripts that share letters
+CHUNK = 4_000_000  # characters of undecided rows that one task settles at once
 _MARKS = "̧̨̀́̂̃̄̆̇̈̌"
 _TAGS = {"<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>"}
 _LET = r"[^\W\d_]"
@@ -128,11 +134,11 @@ def _preferred(s: str) -> tuple:
 
 class Normaliser:
     """``normalise(text)`` gives the one form. ``chars``: corpus count of each character; ``words``: corpus counts of
-    words whose every letter has a twin in another script, used where a word has no neighbour that tells its script."""
+    words whose every letter has a twin in another script, used where a word has no neighbour that tells its script (None: not known yet)."""
 
     def __init__(self, chars: dict[str, int], words: dict[str, int] | None = None) -> None:
         """Only members whose characters occur in the corpus get a pattern, which keeps the automata small."""
-        self.words = words or {}
+        self.words, self.asked = words, set()
         seen = chars.keys() | set(unicodedata.normalize("NFD", "".join(chars)))
         # a multi-character spelling is counted by no character; it wins only where its script has no single character
         freq = lambda m: chars.get(m, 0) if len(m) == 1 else -1
@@ -181,6 +187,7 @@ class Normaliser:
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
+        self.asked = set()
         self.start()
 
     @staticmethod
@@ -221,13 +228,18 @@ class Normaliser:
             text = new
         if _ANY_APOS.search(text):
             text = _APOS.sub("’", text)
-        if (_CYRILLIC.search(text) is not None) + (_LATIN.search(text) is not None) + (_GREEK.search(text) is not None) > 1 or (self.words and len(text) < 24):
+        if (_CYRILLIC.search(text) is not None) + (_LATIN.search(text) is not None) + (_GREEK.search(text) is not None) > 1 or len(text) < 24:
             text = self._scripts(text)
         if _LETTER_DIGIT.search(text):
             text = _NUM.sub(lambda m: m[0].translate(_NUM_TO), text)
             text = _INWORD.sub(lambda m: {"0": "о", "3": "з", "6": "б", "1": "і"}[m[0]] if _CYRILLIC.search(text[max(0, m.start() - 3) : m.end() + 3]) else {"0": "o", "1": "l"}.get(m[0], m[0]), text)
         return text
 
+    def attempt(self, text: str) -> tuple[str, list[str]]:
+        """The one form, and the spellings whose corpus counts would be needed to be sure of it (none if ``words`` are known)."""
+        self.asked.clear()
+        return self.normalise(text), sorted(self.asked)
+
     def _kind(self, w: str) -> str:
         """The script that a word's letters prove, or ?; kept for words met before."""
         kind = self.kinds.get(w)
@@ -299,7 +311,10 @@ class Normaliser:
 
     def _from_corpus(self, w: str) -> str:
         """The script of the more frequent spelling; without evidence a mixed word goes by most of its letters."""
-        forms = {s: self.words.get(self._rewrite(w, self.autos[s]), 0) for s in ("latin", "cyrillic")}
+        spelt = {s: self._rewrite(w, self.autos[s]) for s in ("latin", "cyrillic")}
+        if self.words is None and spelt["latin"] != spelt["cyrillic"]:
+            self.asked.update(spelt.values())
+        forms = {s: (self.words or {}).get(v, 0) for s, v in spelt.items()}
         if forms["latin"] != forms["cyrillic"]:
             return max(forms, key=lambda s: forms[s])
         letters = {s: sum(script(c) == s for c in w) for s in LETTERS}
@@ -324,8 +339,8 @@ _TWINS = "".join(sorted({c for p in (LATIN_CYRILLIC + " " + LATIN_GREEK).split()
 _TWIN_WORD = re.compile(rf"(?<!\w)[{_TWINS}]+(?!\w)")
 
 
-def text_word_counts(df: DataFrame, col: str) -> dict[str, int]:
-    """Counts of words made only of twin letters in running text, however rare."""
+def text_word_counts(df: DataFrame, col: str) -> DataFrame:
+    """(w, n): counts of words made only of twin letters in running text, however rare."""
     def make():
         def work(texts: list) -> dict:
             out: dict = {}
@@ -335,12 +350,11 @@ def text_word_counts(df: DataFrame, col: str) -> dict[str, int]:
             return out
         return work
 
-    return {r["w"]: r["n"] for r in count_rows(df.select(F.col(col)), make, "w string").collect()}
+    return count_rows(df.select(F.col(col)), make, "w string")
 
 
-def word_counts(df: DataFrame, col: str, min_share: float = 1 / 200_000) -> dict[str, int]:
-    """Counts of words made only of twin letters, over all values. Values are counted before they reach Python. Words with less
-    than ``min_share`` of all values are left out, which bounds the result to 1/min_share words at any corpus size."""
+def value_word_counts(df: DataFrame, col: str) -> DataFrame:
+    """The same over short values, which are counted before they reach Python."""
     def make():
         def work(values: list, ns: list) -> dict:
             out: dict = {}
@@ -350,49 +364,88 @@ def word_counts(df: DataFrame, col: str, min_share: float = 1 / 200_000) -> dict
             return out
         return work
 
-    values = df.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    got = count_rows(values, make, "w string")
-    floor = min_share * F.coalesce(F.expr("sum(n) over ()"), F.lit(0))
-    return {r["w"]: r["n"] for r in got.withColumn("floor", floor).filter("n >= floor").collect()}
+    return count_rows(df.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c")), make, "w string")
 
 
-def normalise_column(df: DataFrame, key: str, col: str, norm: Normaliser) -> DataFrame:
-    """(row_key, value, changed) for each row of ``df``; equal values of a batch are rewritten once."""
+def normalised_rows(df: DataFrame, key: str, col: str, norm: Normaliser, counts: DataFrame, emit: Callable[[], Callable[[list, list, list], Iterable[tuple]]], schema: str) -> DataFrame:
+    """``emit()(keys, values, forms)`` over all rows, in batches. Every row is read once; rows with words that the corpus has to decide are
+    written apart with the spellings they ask for, and settled with the counts of these."""
+    names, width = columns_of(schema), len(columns_of(schema))
+
     def make():
-        memo: dict[str, str] = {}
+        memo: dict[str | None, tuple[str | None, list[str]]] = {}
+        out = emit()
 
         def work(keys: list, values: list) -> Iterable[tuple]:
             memo.clear()
+            known: tuple[list, list, list] = ([], [], [])
             for k, v in zip(keys, values):
-                if v is None:
-                    yield k, None, False
-                    continue
-                new = memo.get(v)
-                if new is None:
-                    new = memo[v] = norm.normalise(v)
-                yield k, new, new != v
+                got = memo.get(v)
+                if got is None:
+                    got = memo[v] = norm.attempt(v) if v else (v, [])
+                if got[1]:
+                    yield (*[None] * width, k, v, got[1])
+                else:
+                    for rows, x in zip(known, (k, v, got[0])):
+                        rows.append(x)
+            for row in out(*known):
+                yield (*row, None, None, None)
         return work
 
-    return map_rows(df.select(F.col(key).cast("string"), F.col(col)), make, "row_key string, value string, changed boolean")
+    first = materialise(map_rows(df.select(F.col(key).cast("string"), F.col(col)), make, f"{schema}, _k string, _v string, _asked array<string>"))
+    done = first.filter("_asked is null").select(*names)
+    open_rows = first.filter("_asked is not null")
+    chars = open_rows.agg(F.sum(F.length("_v"))).first()[0]
+    if chars is None:
+        return done
+    rows = open_rows.select("_k", "_v", "_asked", F.pmod(F.xxhash64("_k", "_v"), F.lit(chars // CHUNK + 1)).cast("int").alias("chunk"))
+    known = rows.select(F.col("chunk").alias("at"), F.explode("_asked").alias("w")).distinct().join(counts, "w")
+
+    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
+        norm.words = dict(zip(right["w"].to_pylist(), right["n"].to_pylist()))
+        keys, values = left["_k"].to_pylist(), left["_v"].to_pylist()
+        return arrow_table(emit()(keys, values, [norm.normalise(v) for v in values]), schema)
+
+    settled = materialise(rows.select("chunk", "_k", "_v").groupBy("chunk").cogroup(known.groupBy("at")).applyInArrow(settle, schema))
+    return done.unionByName(settled)
+
+
+def normalise_column(df: DataFrame, key: str, col: str, norm: Normaliser, counts: DataFrame) -> DataFrame:
+    """(row_key, value, changed) for each row of ``df``."""
+    def emit():
+        return lambda keys, values, forms: ((k, f, v is not None and f != v) for k, v, f in zip(keys, values, forms))
 
+    return normalised_rows(df, key, col, norm, counts, emit, "row_key string, value string, changed boolean")
 
-def text_normaliser(df: DataFrame, col: str = "text") -> Normaliser:
-    """A normaliser fitted on the whole column of running text."""
-    return Normaliser(char_counts(df, col), text_word_counts(df, col))
 
+def changed_rows(df: DataFrame, key: str, col: str, norm: Normaliser, counts: DataFrame) -> DataFrame:
+    """(row_key): the rows whose value is not in the one form."""
+    def emit():
+        return lambda keys, values, forms: ((k,) for k, v, f in zip(keys, values, forms) if k is not None and v is not None and f != v)
 
-def value_normaliser(df: DataFrame, col: str) -> Normaliser:
-    """A normaliser fitted on the whole column of short values, whose words have no context."""
-    return Normaliser(char_counts(df.groupBy(col).agg(F.count(F.lit(1))), col), word_counts(df, col))
+    return normalised_rows(df, key, col, norm, counts, emit, "row_key string")
+
+
+def for_text(df: DataFrame, col: str = "text") -> tuple[Normaliser, DataFrame]:
+    """A normaliser fitted on the whole column of running text, and the counts of its words."""
+    return Normaliser(char_counts(df, col)), text_word_counts(df, col)
+
+
+def for_values(df: DataFrame, col: str) -> tuple[Normaliser, DataFrame]:
+    """The same for a column of short values, whose words have no context."""
+    return Normaliser(char_counts(df.groupBy(col).agg(F.count(F.lit(1))), col)), value_word_counts(df, col)
+
+
+def _both(poems: DataFrame, annotations: DataFrame, rows: Callable[..., DataFrame]) -> DataFrame:
+    texts, pronouns = rows(poems, "ID", "text", *for_text(poems)), rows(annotations, "id", "pronoun", *for_values(annotations, "pronoun"))
+    return texts.select(F.lit("poems_for_manual_annotation.text").alias("field"), "*").unionByName(pronouns.select(F.lit("annotations.pronoun").alias("field"), "*"))
 
 
 def canonical(poems: DataFrame, annotations: DataFrame) -> DataFrame:
     """(field, row_key, value, changed): every text and every pronoun in the one form."""
-    texts = normalise_column(poems, "ID", "text", text_normaliser(poems))
-    pronouns = normalise_column(annotations, "id", "pronoun", value_normaliser(annotations, "pronoun"))
-    return texts.select(F.lit("poems_for_manual_annotation.text").alias("field"), "*").unionByName(pronouns.select(F.lit("annotations.pronoun").alias("field"), "*"))
+    return _both(poems, annotations, normalise_column)
 
 
 def found(poems: DataFrame, annotations: DataFrame) -> DataFrame:
     """p3_found: the rows whose value the operator changes."""
-    return canonical(poems, annotations).filter("changed").select("field", "row_key").filter("row_key is not null").distinct()
+    return _both(poems, annotations, changed_rows).distinct()

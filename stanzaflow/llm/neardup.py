@@ -8,7 +8,10 @@ surviving pairs follows.
 
 Texts with equal multisets are one class and take part once; links are found between classes and lose none to caps.
 With 64 bands of 6 values a pair of similarity 0.65 is a candidate with probability 0.993, of 0.73 with 0.99997; the sketch is asked for
-``threshold`` - 0.15, over four standard errors. Buckets are joined, never gathered; a hot one is split by AQE's skew join.
+``threshold`` - 0.22, nearly four standard errors (8.9 bits of the sketch and 6.5 of the MinHash values) below a pair at the threshold.
+
+MinHash runs once a document; its sketch and band keys are stored, its elements are not: the texts of likely pairs are read again. Copies leave
+before the bands are shuffled, so the exchange meets the join directly and AQE's skew join splits a hot band.
 
 Defined cases: a NULL or wordless text is in no class; a repeated (key, text) row counts once; copies are one class of many keys; empty tables
 give no rows; texts are read whole; other columns are not looked at.
@@ -16,17 +19,18 @@ give no rows; texts are read whole; other columns are not looked at.
 
 from __future__ import annotations
 
+import random
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 from ._rows import map_rows
-from .lookalike import Normaliser, text_normaliser
+from .lookalike import Normaliser, for_text, normalised_rows
 
 BANDS, ROWS = 64, 6
 BITS = 512
@@ -41,9 +45,9 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def words(text: str, norm: Normaliser) -> list[str]:
-    """The words that count: look-alikes made one, lower case, no punctuation; each Chinese character is a word."""
-    t = _MARK.sub("", norm.normalise(text)).lower()
+def words(text: str) -> list[str]:
+    """The words that count of a text in the one form: lower case, no punctuation; each Chinese character is a word."""
+    t = _MARK.sub("", text).lower()
     found = _WORD.findall(t)
     if _CJK.search(t):
         found = [x for w in found for x in (w if _CJK.search(w) else (w,))]
@@ -111,66 +115,61 @@ def max_xor(similarity: float) -> int:
     return int(BITS / 2 * (1 - np.exp(-2 * 2 * BANDS * ROWS * (1 - similarity) / BITS)))
 
 
-def bags(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_key, cls, elements, sketch): cls is a hash of the multiset, equal for equal multisets."""
-    rows = df.select(F.col(key).cast("string"), F.col(text)).filter(F.col(key).isNotNull() & F.col(text).isNotNull())
-    norm = text_normaliser(df, text)
+def _bags(memo: dict[str, int], keys: list, texts: list) -> tuple[list[str], list[np.ndarray], list[int]]:
+    """Keys, bags and classes (a hash of the multiset) of the texts that have words."""
+    some = [(k, bag(found, memo)) for k, t in zip(keys, texts) if (found := words(t))]
+    return [k for k, _ in some], [x for _, x in some], [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for _, x in some]
 
-    def make():
-        memo: dict[str, int] = {}
-
-        def work(keys: list, texts: list) -> Iterable[tuple]:
-            for i in range(0, len(keys), STEP):
-                some = [(k, bag(found, memo)) for k, t in zip(keys[i : i + STEP], texts[i : i + STEP]) if (found := words(t, norm))]
-                if some:
-                    sketches = odd_sketch(minhash([x for _, x in some])).tolist()
-                    for (k, x), sk in zip(some, sketches):
-                        raw = x.tobytes()
-                        yield k, xxhash.xxh3_64_intdigest(raw) - (1 << 63), raw, sk
-        return work
 
-    return map_rows(rows, make, "doc_key string, cls bigint, elements binary, sketch array<bigint>")
+def _signatures() -> Callable[[list, list, list], Iterable[tuple]]:
+    memo: dict[str, int] = {}
 
+    def work(keys: list, _: list, texts: list) -> Iterable[tuple]:
+        for i in range(0, len(keys), STEP):
+            ids, bags, cls = _bags(memo, keys[i : i + STEP], texts[i : i + STEP])
+            if ids:
+                values = minhash(bags)
+                for row in zip(ids, cls, (random.getrandbits(62) for _ in ids), odd_sketch(values).tolist(), band_keys(values).tolist()):
+                    yield row
+    return work
 
-class Links:
-    """Classes of equal multisets, and the links between classes at or above a similarity.
 
-    Bands are made where they are shuffled, and again only copies met in the same task are left out before; the sketch, an eighth of
-    their size, is what is kept."""
+def _elements() -> Callable[[list, list, list], Iterable[tuple]]:
+    memo: dict[str, int] = {}
+
+    def work(keys: list, _: list, texts: list) -> Iterable[tuple]:
+        _, bags, cls = _bags(memo, keys, texts)
+        return ((c, x.tobytes()) for c, x in zip(cls, bags))
+    return work
+
 
-    def __init__(self, df: DataFrame, key: str = "ID", text: str = "text", threshold: float = 0.65, slack: float = 0.15) -> None:
-        every = materialise(bags(df, key, text))
+class Links:
+    """Classes of equal multisets, and the links between classes at or above a similarity."""
+
+    def __init__(self, df: DataFrame, key: str = "ID", text: str = "text", threshold: float = 0.65, slack: float = 0.22) -> None:
+        norm, counts = for_text(df, text)
+        rows = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null")
+        every = normalised_rows(rows, "k", "t", norm, counts, _signatures, "doc_key string, cls bigint, row bigint, sketch array<bigint>, keys array<bigint>")
         self.members = every.select("doc_key", "cls").distinct()
-        bands = _bands(every).repartition("band").distinct()  # the band's partitioning serves the distinct and the join
-        a, b = bands.select("band", F.col("cls").alias("a")), bands.select("band", F.col("cls").alias("b"))
-        candidates = a.join(b, "band").filter("a < b").select("a", "b").distinct()
-        sketches = every.groupBy("cls").agg(F.first("sketch").alias("sketch"))
-        pairs = candidates.join(sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("sb")), "b")
+        # classes of several rows: written down, so that their size decides how they are joined
+        copies = materialise(every.groupBy("cls").agg(F.min("row").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("cls", "keep"))
+        one = every.join(copies, "cls", "left").filter("keep is null or row = keep")
+        candidates = band_pairs(one.select("cls", F.explode("keys").alias("band")))
+        pairs = candidates.join(one.select(F.col("cls").alias("a"), F.col("sketch").alias("sa")), "a").join(one.select(F.col("cls").alias("b"), F.col("sketch").alias("sb")), "b")
         ones = sum(F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(BITS // 64))
-        likely = pairs.filter(ones <= max_xor(threshold - slack)).select("a", "b")
-        classes = every.groupBy("cls").agg(F.first("elements").alias("elements"))
-        full = likely.join(classes.select(F.col("cls").alias("a"), F.col("elements").alias("ea")), "a").join(classes.select(F.col("cls").alias("b"), F.col("elements").alias("eb")), "b")
+        likely = materialise(pairs.filter(ones <= max_xor(threshold - slack)).select("a", "b"))
+        asked = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        again = materialise(one.join(asked, "cls", "left_semi").select(F.col("doc_key").alias("k")).distinct())
+        bags = normalised_rows(rows.join(again, "k", "left_semi"), "k", "t", norm, counts, _elements, "cls bigint, elements binary")
+        bags = bags.groupBy("cls").agg(F.first("elements").alias("elements"))
+        full = likely.join(bags.select(F.col("cls").alias("a"), F.col("elements").alias("ea")), "a").join(bags.select(F.col("cls").alias("b"), F.col("elements").alias("eb")), "b")
         self.links = materialise(_exact(full).filter(F.col("similarity") >= threshold))
 
 
-def _bands(every: DataFrame) -> DataFrame:
-    def make():
-        seen: set[int] = set()
-
-        def work(cls: list, elements: list) -> Iterable[tuple]:
-            if len(seen) > 500_000:
-                seen.clear()
-            new = {c: e for c, e in zip(cls, elements) if c not in seen}
-            seen.update(new)
-            ids, bags = list(new), list(new.values())
-            for i in range(0, len(ids), STEP):
-                keys = band_keys(minhash([np.frombuffer(e, np.uint32) for e in bags[i : i + STEP]]))
-                for c, row in zip(ids[i : i + STEP], keys.tolist()):
-                    for k in row:
-                        yield k, c
-        return work
-
-    return map_rows(every.select("cls", "elements"), make, "band bigint, cls bigint")
+def band_pairs(bands: DataFrame) -> DataFrame:
+    """(a, b), a < b: classes that share a band, from distinct (cls, band) rows. Nothing lies between exchange and join, so a hot band is split."""
+    a, b = bands.select("band", F.col("cls").alias("a")), bands.select("band", F.col("cls").alias("b"))
+    return a.join(b.hint("shuffle_merge"), "band").filter("a < b").select("a", "b").distinct()
 
 
 def _exact(pairs: DataFrame) -> DataFrame:
@@ -194,7 +193,9 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         edges = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        edges = materialise(edges.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
+        last, edges = edges, materialise(edges.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
+        if before is not None:
+            discard(last)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("bigint"))).first()
         if state == before:
             break

@@ -39,8 +39,7 @@ def test_classes_are_transitive():
 
 def test_short_values_go_by_frequency(spark):
     d = spark.createDataFrame([(str(i), v) for i, v in enumerate(["He"] * 9 + ["Не"] + ["вона"] * 5 + ["вoна", None, "", " "])], "id string, pronoun string")
-    n = L.value_normaliser(d, "pronoun")
-    got = {r["row_key"]: (r["value"], r["changed"]) for r in L.normalise_column(d, "id", "pronoun", n).collect()}
+    got = {r["row_key"]: (r["value"], r["changed"]) for r in L.normalise_column(d, "id", "pronoun", *L.for_values(d, "pronoun")).collect()}
     assert got["9"] == ("He", True) and got["15"] == ("вона", True) and got["0"] == ("He", False)
     assert got["16"] == (None, False) and got["17"] == ("", False)
 
@@ -67,6 +66,19 @@ def test_long_text(norm):
 def test_one_word_sentence_of_twins(spark):
     rows = [(str(i), "Снег идёт. Ах! Он молчит.") for i in range(5)] + [("p", "Снег идёт.\nAx! Он знает, и он молчит.")]
     d = spark.createDataFrame(rows, "ID string, text string")
-    n = L.text_normaliser(d)
-    assert n.normalise(rows[5][1]) == n.normalise("Снег идёт.\nАх! Он знает, и он молчит.") and n.normalise(rows[5][1]).isascii() is False
-    assert n.normalise("Снег идёт. Ax. Он знает.") == n.normalise("Снег идёт. Ах. Он знает.")
+    got = {r["row_key"]: r["value"] for r in L.normalise_column(d, "ID", "text", *L.for_text(d)).collect()}
+    assert got["p"] == "Снег идёт.\nАх! Он знает, и он молчит." and got["0"] == rows[0][1]
+    assert {tuple(r) for r in L.changed_rows(d, "ID", "text", *L.for_text(d)).collect()} == {("p",)}
+
+
+def test_a_rare_spelling_decides_in_a_large_corpus(spark, monkeypatch):
+    """Three occurrences of a word among 300,000 values tell its script, in chunks of any size; repeated rows stay."""
+    rows = [(f"f{i}", "вона") for i in range(2000)] + [("a", "хор"), ("b", "хор"), ("c", "хор"), ("d", "xop"), ("d", "xop"), ("e", "Cap"), ("f", "Cap"), ("g", "Сар")]
+    d = spark.createDataFrame(rows, "id string, pronoun string")
+    d = d.unionByName(spark.range(298_000).selectExpr("concat('x', id) as id", "'вона' as pronoun"))
+    norm, counts = L.for_values(d, "pronoun")
+    assert {r["w"]: r["n"] for r in counts.collect()} == {"хор": 3, "xop": 2, "Cap": 2, "Сар": 1}
+    whole = sorted(map(tuple, L.normalise_column(d, "id", "pronoun", norm, counts).filter("length(row_key) = 1").collect()))
+    monkeypatch.setattr(L, "CHUNK", 5)
+    assert whole == sorted(map(tuple, L.normalise_column(d, "id", "pronoun", *L.for_values(d, "pronoun")).filter("length(row_key) = 1").collect()))
+    assert whole == [("a", "хор", False), ("b", "хор", False), ("c", "хор", False), ("d", "хор", True), ("d", "хор", True), ("e", "Cap", False), ("f", "Cap", False), ("g", "Cap", True)]

@@ -73,3 +73,31 @@ def test_chains_become_one_group(spark):
     nodes = spark.createDataFrame([(i,) for i in [*range(1, 31), 40, 41, 50]], "cls bigint")
     comp = dict(map(tuple, N.components(links, nodes).collect()))
     assert {comp[i] for i in range(1, 31)} == {1} and comp[41] == 40 and comp[50] == 50
+
+
+def test_a_hot_band_is_split(spark):
+    """A band that a third of the classes share is read in parts by the join."""
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        bands = spark.range(0, 4000, 1, 8).selectExpr("xxhash64(id) as cls", "if(id % 3 = 0, 7L, xxhash64(id, 1)) as band")
+        hot = spark.range(400).selectExpr("xxhash64(id * 3) as cls", "7L as band")
+        pairs = N.band_pairs(bands.filter("band <> 7").unionByName(hot))
+        assert pairs.count() == 400 * 399 // 2
+        pairs.collect()
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan or "skewed" in plan
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_many_copies_and_a_repeated_key(spark):
+    t = "Тиха ніч над рікою, і сніг тане за вікном"
+    rows = [(f"c{i}", t) for i in range(40)] + [("c0", t)] * 20 + [("k", t), ("k", "інший текст зовсім без збігів"), ("m", "Інший текст зовсім без збігів!")]
+    d = spark.createDataFrame([(*r, 1) for r in rows], "ID string, text string, cls int")
+    got = {tuple(r) for r in N.found(d).collect()}
+    same = sorted({k for k, x in rows if x == t})
+    assert got == {(a, b) for a, b in itertools.combinations(same, 2)} | {("k", "m")}
