@@ -2,7 +2,8 @@
 
 Method: language-bitmask n-gram filters. For each n-gram order one bit-sliced Bloom filter maps an n-gram to a mask with one bit
 per language; the masks of a sentence's n-grams give a popcount per language, corrected for the filter's false positives, and
-a likelihood of these counts under each language decides, with the document's other sentences as prior.
+a likelihood of these counts under each language decides, with the document's other sentences as prior. Where the decided language's popcounts over
+the document stay under ``FAMILIAR`` of what it usually has, the outcome is ``und``, none of the languages.
 
 The filters are fitted on a bounded sample of labelled rows (``per_label`` rows of each label, chosen by hash). Labels may be wrong:
 n-gram counts relabel the sample's sentences a few times before the filters are filled. All else covers every row.
@@ -22,43 +23,66 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._rows import map_rows
+from ._rows import count_rows, map_rows
 from .sentences import Segmenter, prepare
 
-# Codes, and the beginnings by which a label names them (English, native, abbreviated; lower case).
+# Codes; other codes in use, and the languages' names in English, their own and their neighbours' (lower case, without endings).
 LANGUAGES = ("uk", "ru", "be", "pl", "en", "de", "crh", "hi", "zh")
+OTHER = "und"  # the outcome for text in none of them
+CODES = {"uk": "ua", "be": "by", "de": "ger deu", "crh": "qt", "zh": "chi zho cn"}
 NAMES = {
-    "uk": ("uk", "ua", "укр"),
-    "ru": ("ru", "ros", "рус", "рос"),
-    "be": ("be", "bia", "by", "wei", "бел", "біл"),
-    "pl": ("pol", "pl", "пол"),
-    "en": ("en", "ang", "анг"),
-    "de": ("de", "ger", "ne", "niem", "нем", "нім"),
-    "crh": ("qir", "qır", "crh", "cri", "kır", "kirim", "krim", "krym", "кри", "къ", "qt"),
-    "hi": ("hi", "हि", "гін", "хин"),
-    "zh": ("zh", "chi", "cn", "中", "汉", "漢", "кит"),
+    "uk": "ukrain ukraiń ukraj україн украин украін",
+    "ru": "russ rosyjsk русск рускі росій россий російськ",
+    "be": "belarus belorus białorus weißruss weissruss беларус белорус білорус",
+    "pl": "polish polsk polnisch polon польск польс",
+    "en": "english angielsk englisch англий англій англ",
+    "de": "german deutsch niemiec немец німец нямец",
+    "crh": "qirim qırım crimean krymsk krimtatar kırım kirim kirimtatar крим крым къырым",
+    "hi": "hindi हिन्दी हिंदी хинди хінді гінді",
+    "zh": "chines 中文 汉语 漢語 华语 華語 китай кітай chińsk",
 }
+WORDS = {"language", "мова", "мовою", "язык", "языке", "język", "języku", "sprache", "dili", "tili", "tatar", "tatarca", "татарська", "татарский", "по", "на"}
 MISSING = {"", "nan", "none", "null", "unknown", "unk", "und", "undefined", "unspecified", "missing", "n/a", "na", "n.a.", "невідомо", "неизвестно", "tbd", "xx"}
 
 ORDERS = (2, 3, 4)
 SLOTS = 1 << 20
 _MUL = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _NOISE = 0.01  # share of n-grams that typing errors change
+FAMILIAR = 0.75  # share of the expected hits below which, by more than two deviations, text is in none of the languages
+
+
+def _named(part: str) -> str:
+    """The language of one name: a code, a name with any ending, or an abbreviation (three letters at least) that fits one language only."""
+    words = [w.strip(".-_") for w in part.split() if w.strip(".-_") not in WORDS]
+    found = set()
+    for w in words:
+        fits = {k for k in LANGUAGES if w == k or w in CODES.get(k, "").split() or any(w.startswith(x) for x in NAMES[k].split())}
+        fits = fits or {k for k in LANGUAGES if len(w) > 2 and any(x.startswith(w) for x in NAMES[k].split())}
+        found |= fits if len(fits) == 1 else {"?"}
+    return found.pop() if len(found) == 1 else "?"
 
 
 def parse_label(label: str | None) -> frozenset[str] | None:
     """The languages a label names; None when it is missing; with "?" in it when it names something unknown."""
     if label is None:
         return None
-    s = unicodedata.normalize("NFKC", label).strip().lower()
+    got = _PARSED.get(label)
+    if got is None:
+        if len(_PARSED) > 10_000:
+            _PARSED.clear()
+        got = _PARSED[label] = (_parse(label),)
+    return got[0]
+
+
+_PARSED: dict[str, tuple] = {}
+
+
+def _parse(label: str) -> frozenset[str] | None:
+    s = unicodedata.normalize("NFKC", label).strip().lower().replace("i\u0307", "i")
     if s in MISSING or not any(c.isalnum() for c in s):
         return None
-    out = set()
-    for part in re.split(r"[,;/&+|()\[\]]|\b(?:and|und|та|й|и|і|i|oraz|ve)\b", s):
-        part = part.strip(" .-_")
-        if part:
-            out.add(next((k for k, v in NAMES.items() if part.startswith(v)), "?"))
-    return frozenset(out) or None
+    parts = [p.strip(" .-_") for p in re.split(r"[,;/&+|()\[\]]|\b(?:and|und|та|й|и|і|i|oraz|ve)\b", s)]
+    return frozenset(_named(p) for p in parts if p) or None
 
 
 def _letters() -> np.ndarray:
@@ -138,12 +162,13 @@ class Filters:
         hits = np.clip((hits - total[:, None, :] * fp) / (1 - fp), 0, total[:, None, :])
         return hits, total, letters
 
-    def likelihood(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log likelihood (sentence x language), damped as overlapping n-grams are not independent, and letters."""
+    def likelihood(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Log likelihood (sentence x language), damped as overlapping n-grams are not independent; letters; and the hits (sentence x language)
+        there are and would be, if the sentence were of the language."""
         hits, total, letters = self.popcounts(sentences)
         miss = total[:, None, :] - hits
         ll = np.einsum("slo,tlo->st", hits, self.yes) + np.einsum("slo,tlo->st", miss, self.no)
-        return ll / (len(LANGUAGES) * len(ORDERS) / 3), letters
+        return ll / (len(LANGUAGES) * len(ORDERS) / 3), letters, hits.sum(2), total @ np.einsum("tto->ot", self.rate)
 
 
 def fit(sample: list[tuple[str, str]]) -> Filters:
@@ -210,11 +235,18 @@ def sample_rows(df: DataFrame, label: str, text: str, key: str, per_label: int)
                     yield next(iter(named)), k, t
         return work
 
-    counts: dict[str, int] = {}
-    for r in df.groupBy(F.trim(F.lower(F.substring(F.col(label), 1, 24))).alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").limit(2000).collect():
-        named = parse_label(r["v"])
-        if named and len(named) == 1 and "?" not in named:
-            counts[next(iter(named))] = counts.get(next(iter(named)), 0) + r["n"]
+    def codes():
+        def work(labels: list, ns: list) -> dict:
+            out: dict = {}
+            for v, n in zip(labels, ns):
+                named = parse_label(v)
+                if named and len(named) == 1 and "?" not in named:
+                    out[tuple(named)] = out.get(tuple(named), 0) + n
+            return out
+        return work
+
+    spelt = df.groupBy(F.col(label).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    counts = {r["code"]: r["n"] for r in count_rows(spelt, codes, "code string").collect()}  # one row a language
     share = F.lit(0.0)
     rows = map_rows(df.select(F.col(key).cast("string"), label, text), make, "code string, k string, t string")
     for code, n in counts.items():
@@ -234,11 +266,11 @@ class Identifier:
         flat = [prepare(t[a:b])[0] for t, sp in zip(texts, spans) for a, b in sp]
         if not flat:
             return [[] for _ in texts]
-        ll, letters = self.filters.likelihood(flat)
+        figures = self.filters.likelihood(flat)
         out, at = [], 0
         for sp in spans:
             k = len(sp)
-            out.append(self._document(sp, ll[at : at + k], letters[at : at + k]))
+            out.append(self._document(sp, *(x[at : at + k] for x in figures)))
             at += k
         return out
 
@@ -254,9 +286,10 @@ class Identifier:
         return out
 
     @staticmethod
-    def _document(spans: list[tuple[int, int]], ll: np.ndarray, letters: np.ndarray) -> list[tuple[int, int, str, float]]:
+    def _document(spans: list[tuple[int, int]], ll: np.ndarray, letters: np.ndarray, hits: np.ndarray, expected: np.ndarray) -> list[tuple[int, int, str, float]]:
         if not spans or not letters.any():
             return []
+        n_lang = len(LANGUAGES)
         post = np.exp(ll - ll.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
         prior = (post * letters[:, None]).sum(0) / letters.sum()
@@ -264,17 +297,23 @@ class Identifier:
         post = np.exp(ll - ll.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
         out: list[list] = []
-        for (a, b), p, n in zip(spans, post, letters):
+        best = post.argmax(1)
+        # of each language, the hits in all of its sentences against those expected: too few, and they are in none of the languages
+        due = np.array([expected[best == k, k].sum() for k in range(n_lang)])
+        met = np.array([hits[best == k, k].sum() for k in range(n_lang)])
+        known = met >= FAMILIAR * due - 2 * np.sqrt(due)
+        for (a, b), p, n, k in zip(spans, post, letters, best.tolist()):
             if not n:
                 continue
-            k = int(p.argmax())
+            if not known[k]:
+                p, k = np.append(np.zeros(n_lang), 1 - met[k] / due[k]), n_lang
             if out and out[-1][2] == k:
                 out[-1][1] = b
                 out[-1][3] += p[k] * n
                 out[-1][4] += n
             else:
                 out.append([a, b, k, p[k] * n, n])
-        return [(a, b, LANGUAGES[k], float(c / n)) for a, b, k, c, n in out]
+        return [(a, b, (*LANGUAGES, OTHER)[k], float(c / n)) for a, b, k, c, n in out]
 
 
 def fit_on(df: DataFrame, key: str = "ID", label: str = "language", text: str = "text", per_label: int = 300) -> Filters:
@@ -324,4 +363,4 @@ def documents(df: DataFrame, key: str = "ID", label: str = "language", text: str
 def found(poems: DataFrame) -> DataFrame:
     """p1_found: the languages of each poem whose label is missing or does not name exactly these."""
     docs = documents(poems).filter((F.col("named") != "right") & F.col("doc_key").isNotNull())
-    return docs.select(F.col("doc_key").alias("poem_id"), F.explode("langs").alias("lang")).distinct()
+    return docs.select(F.col("doc_key").alias("poem_id"), F.explode("langs").alias("lang")).filter(F.col("lang") != OTHER).distinct()

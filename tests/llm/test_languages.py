@@ -19,6 +19,8 @@ def ident():
 @pytest.mark.parametrize(("label", "want"), [
     (None, None), (" ", None), ("-", None), ("nan", None), ("unknown", None), ("Ukrainian", {"uk"}), ("Ukr.", {"uk"}), ("RU", {"ru"}), ("Russian, Ukrainian", {"ru", "uk"}), ("Belarusian (be)", {"be"}),
     ("qırımtatar", {"crh"}), ("Crimean Tatar", {"crh"}), ("Deutsch", {"de"}), ("中文", {"zh"}), ("हिन्दी", {"hi"}), ("русский", {"ru"}), ("Klingon", {"?"}),
+    ("Nepali", {"?"}), ("Bengali", {"?"}), ("Polynesian", {"?"}), ("Nederlands", {"?"}), ("Rusyn", {"?"}), ("Беларуская мова", {"be"}), ("po polsku", {"?"}), ("język polski", {"pl"}), ("нем.", {"de"}), ("Qırım Tatar dili", {"crh"}),
+    ("a label that goes on for more than two dozen characters, Ukrainian", {"?", "uk"}),
 ])
 def test_labels(label, want):
     assert L.parse_label(label) == (None if want is None else frozenset(want))
@@ -36,6 +38,11 @@ def test_mixed_text_and_positions(ident):
     assert [x[2] for x in got] == ["uk", "en"] and text[got[0][0] : got[0][1]] == "Сніг тане над рікою."
 
 
+def test_none_of_the_languages(ident):
+    other = "Le vent souffle sur la rivière et les enfants regardent la neige. Nous lisons de vieilles lettres dans le jardin. " * 6
+    assert {x[2] for x in ident.stretches([other])[0]} == {L.OTHER}
+
+
 def test_nothing_to_say(ident):
     assert ident.stretches([None, "", "12.03.2020", "* * *"]) == [[], [], [], []]
 
