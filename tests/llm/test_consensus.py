@@ -35,6 +35,35 @@ def test_beats_the_majority(spark):
     assert min(rel[f"a{k}"] for k in range(7)) > 0.75 > max(rel["a7"], rel["a8"])
 
 
+def test_the_dual_rises_and_sigma_as_a_table_gives_the_same(spark, monkeypatch):
+    truth, rows = simulated(n=150, seed=5)
+    v = spark.createDataFrame(rows, "item string, annotator string, label int")
+    few = C.Consensus(v, passes=4)
+    assert all(b > a for a, b in zip(few.dual, few.dual[1:])) and len(few.dual) == 4
+    monkeypatch.setattr(C, "FEW", 0)
+    monkeypatch.setattr(C, "CHUNK", 200)
+    table = C.Consensus(v, passes=4)
+    assert not table.few and np.allclose(few.dual, table.dual) and np.allclose(few.prior, table.prior)
+    one, two = ({r[0]: r[1:] for r in c.labels().collect()} for c in (few, table))
+    assert one.keys() == two.keys() and all(one[i][0] == two[i][0] and abs(one[i][1] - two[i][1]) < 1e-6 for i in one)
+    one, two = ({r[0]: r[1:] for r in c.annotators().collect()} for c in (few, table))
+    assert one.keys() == two.keys() and all(abs(one[a][1] - two[a][1]) < 1e-6 for a in one)
+    assert np.allclose(few.agreement().first(), table.agreement().first())
+
+
+def test_too_long_a_step_is_taken_back(spark):
+    _, rows = simulated(n=60, seed=6)
+    c = C.Consensus(spark.createDataFrame(rows, "item string, annotator string, label int"), passes=12, damping=40.0)
+    assert c.damping < 40 and all(b >= a - 1e-7 * abs(a) for a, b in zip(c.dual, c.dual[1:]))
+
+
+def test_many_annotators(spark):
+    """A hundred thousand annotators with a judgment or two each: no parameter is collected or broadcast."""
+    v = spark.range(200_000).selectExpr("concat('i', id % 40000) as item", "concat('a', id % 100003) as annotator", "cast(if(hash(id) % 5 = 0, id % 5, id % 40000 % 5) as int) as label").distinct()
+    c = C.Consensus(v.groupBy("item", "annotator").agg({"label": "max"}).toDF("item", "annotator", "label"), passes=1)
+    assert not c.few and c.labels().count() == 40_000 and c.annotators().count() == 100_003
+
+
 def test_records(spark):
     t = lambda d: datetime.datetime(2024, 1, d)
     rows = [("1", "Ann ", "p", "1st person", t(1)), ("1", "Ann ", "p", "1st person", t(1)), ("2", " ann", "p", "MIXED", t(2)), ("3", "bo", "p", " 2nd  Person", t(1)), ("4", "cy", "p", None, t(1)), ("5", None, "p", "Other", t(1)), ("6", "di", "p", "rubbish", t(1)), ("7", "ed", None, "Other", t(1))]
