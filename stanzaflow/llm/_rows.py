@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..session import ship
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str) -> DataFrame:
     """Arrow batches through Python: ``make()`` is called once per task and returns a function of the batch's columns
-    (as lists) that yields output tuples. One Python call per batch, not per row."""
+    (as lists) that yields output tuples, or whole tables of the schema. One Python call per batch, not per row."""
     names = columns_of(schema)
     types = [_ARROW[x.strip().split(" ", 1)[1].strip()] for x in schema.split(",")]
     out = pa.schema([(n, t) for n, t in zip(names, types)])
@@ -21,7 +22,12 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            rows = list(work(*(c.to_pylist() for c in batch.columns)))
+            rows = []
+            for x in work(*(c.to_pylist() for c in batch.columns)):
+                if isinstance(x, pa.Table):
+                    yield from x.to_batches()
+                else:
+                    rows.append(x)
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], schema=out)
@@ -61,11 +67,17 @@ def columns_of(schema: str) -> list[str]:
     return [x.strip().split(" ", 1)[0] for x in schema.split(",")]
 
 
-def arrow_table(rows: Iterable[tuple], schema: str) -> pa.Table:
-    """Rows as a table of the schema, also if there are none."""
-    names = columns_of(schema)
-    cols = list(zip(*rows)) or [()] * len(names)
-    return pa.table([pa.array(c, _ARROW[x.strip().split(" ", 1)[1].strip()]) for c, x in zip(cols, schema.split(","))], names=names)
+def arrow_table(rows: Iterable[tuple | pa.Table], schema: str) -> pa.Table:
+    """Rows, or tables, as one table of the schema, also if there are none."""
+    names, rows = columns_of(schema), list(rows)
+    tables = [x for x in rows if isinstance(x, pa.Table)]
+    cols = list(zip(*(x for x in rows if not isinstance(x, pa.Table)))) or [()] * len(names)
+    return pa.concat_tables([pa.table([pa.array(c, _ARROW[x.strip().split(" ", 1)[1].strip()]) for c, x in zip(cols, schema.split(","))], names=names), *tables])
+
+
+def int_lists(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as lists, without a Python number each."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
 
 
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}

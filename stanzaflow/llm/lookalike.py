@@ -368,7 +368,7 @@ def value_word_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def normalised_rows(df: DataFrame, key: str, col: str, norm: Normaliser, counts: DataFrame, emit: Callable[[], Callable[[list, list, list], Iterable[tuple]]], schema: str) -> DataFrame:
-    """``emit()(keys, values, forms)`` over all rows, in batches. Every row is read once; rows with words that the corpus has to decide are
+    """``emit()(keys, values, forms)``, tuples or tables, over all rows, in batches. Every row is read once; rows with words that the corpus has to decide are
     written apart with the spellings they ask for, and settled with the counts of these."""
     names, width = columns_of(schema), len(columns_of(schema))
 
@@ -388,8 +388,13 @@ def normalised_rows(df: DataFrame, key: str, col: str, norm: Normaliser, counts:
                 else:
                     for rows, x in zip(known, (k, v, got[0])):
                         rows.append(x)
-            for row in out(*known):
-                yield (*row, None, None, None)
+            for x in out(*known):
+                if isinstance(x, pa.Table):
+                    for name, t in (("_k", pa.string()), ("_v", pa.string()), ("_asked", pa.list_(pa.string()))):
+                        x = x.append_column(name, pa.nulls(len(x), t))
+                    yield x
+                else:
+                    yield (*x, None, None, None)
         return work
 
     first = materialise(map_rows(df.select(F.col(key).cast("string"), F.col(col)), make, f"{schema}, _k string, _v string, _asked array<string>"))

@@ -22,19 +22,22 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise
-from ._rows import map_rows
+from ._rows import int_lists, map_rows
 from .lookalike import Normaliser, for_text, normalised_rows
 
 BANDS, ROWS = 64, 6
 BITS = 512
 STEP = 2000  # documents hashed at once
+SIGNED = ["doc_key", "cls", "row", "sketch", "keys"]
 _WORD = re.compile(r"[^\W_]+(?:[’'-][^\W_]+)*")
 _CJK = re.compile(r"[⺀-鿿]")
 _MARK = re.compile("[̀́]")  # stress that was written out
@@ -54,22 +57,29 @@ def words(text: str) -> list[str]:
     return found
 
 
-def bag(found: list[str], memo: dict[str, int]) -> np.ndarray:
-    """Sorted 32-bit elements of the multiset: word and number of its occurrence, hashed."""
-    seen: dict[str, int] = {}
-    out = []
-    for w in found:
-        h = memo.get(w)
-        if h is None:
-            if len(memo) > 200_000:
-                memo.clear()
-            h = memo[w] = xxhash.xxh32_intdigest(w)
-        k = seen.get(w, 0)
-        seen[w] = k + 1
-        out.append((h + k * 0x9E3779B9) & 0xFFFFFFFF)
-    x = np.array(out, np.uint32)
-    x.sort()
-    return x
+class Hashes(dict):
+    """Word -> 32-bit hash, kept for words met before."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh32_intdigest(word)
+        return h
+
+
+def bags(found: list[list[str]], memo: Hashes) -> list[np.ndarray]:
+    """Sorted 32-bit elements of each multiset of words: word and number of its occurrence, hashed. No list may be empty."""
+    if len(memo) > 200_000:
+        memo.clear()
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    doc = np.repeat(np.arange(len(found)), size).astype(np.uint64) << np.uint64(32)
+    key = doc | np.fromiter(map(memo.__getitem__, chain.from_iterable(found)), np.uint64, int(size.sum()))
+    key.sort()
+    at = np.arange(len(key))
+    times = at - np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), at, 0))
+    low = np.uint64(0xFFFFFFFF)
+    key = key & ~low | (key + times.astype(np.uint64) * np.uint64(0x9E3779B9)) & low
+    key.sort()
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+    return np.split((key & low).astype(np.uint32), np.flatnonzero(np.diff(key >> np.uint64(32))) + 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -115,31 +125,32 @@ def max_xor(similarity: float) -> int:
     return int(BITS / 2 * (1 - np.exp(-2 * 2 * BANDS * ROWS * (1 - similarity) / BITS)))
 
 
-def _bags(memo: dict[str, int], keys: list, texts: list) -> tuple[list[str], list[np.ndarray], list[int]]:
+def _bags(memo: Hashes, keys: list, texts: list) -> tuple[list[str], list[np.ndarray], list[int]]:
     """Keys, bags and classes (a hash of the multiset) of the texts that have words."""
-    some = [(k, bag(found, memo)) for k, t in zip(keys, texts) if (found := words(t))]
-    return [k for k, _ in some], [x for _, x in some], [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for _, x in some]
+    some = [(k, found) for k, t in zip(keys, texts) if (found := words(t))]
+    made = bags([f for _, f in some], memo) if some else []
+    return [k for k, _ in some], made, [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in made]
 
 
 def _signatures() -> Callable[[list, list, list], Iterable[tuple]]:
-    memo: dict[str, int] = {}
+    memo = Hashes()
 
     def work(keys: list, _: list, texts: list) -> Iterable[tuple]:
         for i in range(0, len(keys), STEP):
-            ids, bags, cls = _bags(memo, keys[i : i + STEP], texts[i : i + STEP])
+            ids, made, cls = _bags(memo, keys[i : i + STEP], texts[i : i + STEP])
             if ids:
-                values = minhash(bags)
-                for row in zip(ids, cls, (random.getrandbits(62) for _ in ids), odd_sketch(values).tolist(), band_keys(values).tolist()):
-                    yield row
+                values = minhash(made)
+                yield pa.table([pa.array(ids), pa.array(cls), pa.array([random.getrandbits(62) for _ in ids]), int_lists(odd_sketch(values)), int_lists(band_keys(values))], names=SIGNED)
     return work
 
 
 def _elements() -> Callable[[list, list, list], Iterable[tuple]]:
-    memo: dict[str, int] = {}
+    memo = Hashes()
 
     def work(keys: list, _: list, texts: list) -> Iterable[tuple]:
-        _, bags, cls = _bags(memo, keys, texts)
-        return ((c, x.tobytes()) for c, x in zip(cls, bags))
+        for i in range(0, len(keys), STEP):
+            _, made, cls = _bags(memo, keys[i : i + STEP], texts[i : i + STEP])
+            yield from ((c, x.tobytes()) for c, x in zip(cls, made))
     return work
 
 
@@ -149,7 +160,7 @@ class Links:
     def __init__(self, df: DataFrame, key: str = "ID", text: str = "text", threshold: float = 0.65, slack: float = 0.22) -> None:
         norm, counts = for_text(df, text)
         rows = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null")
-        every = normalised_rows(rows, "k", "t", norm, counts, _signatures, "doc_key string, cls bigint, row bigint, sketch array<bigint>, keys array<bigint>")
+        every = normalised_rows(rows, "k", "t", norm, counts, _signatures, ", ".join(f"{c} {t}" for c, t in zip(SIGNED, ("string", "bigint", "bigint", "array<bigint>", "array<bigint>"))))
         self.members = every.select("doc_key", "cls").distinct()
         # classes of several rows: written down, so that their size decides how they are joined
         copies = materialise(every.groupBy("cls").agg(F.min("row").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("cls", "keep"))
@@ -160,9 +171,9 @@ class Links:
         likely = materialise(pairs.filter(ones <= max_xor(threshold - slack)).select("a", "b"))
         asked = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         again = materialise(one.join(asked, "cls", "left_semi").select(F.col("doc_key").alias("k")).distinct())
-        bags = normalised_rows(rows.join(again, "k", "left_semi"), "k", "t", norm, counts, _elements, "cls bigint, elements binary")
-        bags = bags.groupBy("cls").agg(F.first("elements").alias("elements"))
-        full = likely.join(bags.select(F.col("cls").alias("a"), F.col("elements").alias("ea")), "a").join(bags.select(F.col("cls").alias("b"), F.col("elements").alias("eb")), "b")
+        bag = normalised_rows(rows.join(again, "k", "left_semi"), "k", "t", norm, counts, _elements, "cls bigint, elements binary")
+        bag = bag.groupBy("cls").agg(F.first("elements").alias("elements"))
+        full = likely.join(bag.select(F.col("cls").alias("a"), F.col("elements").alias("ea")), "a").join(bag.select(F.col("cls").alias("b"), F.col("elements").alias("eb")), "b")
         self.links = materialise(_exact(full).filter(F.col("similarity") >= threshold))
 
 
@@ -177,7 +188,7 @@ def _exact(pairs: DataFrame) -> DataFrame:
         def work(a: list, b: list, ea: list, eb: list) -> Iterable[tuple]:
             for x, y, p, q in zip(a, b, ea, eb):
                 u, v = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-                both = len(np.intersect1d(u, v, assume_unique=False))
+                both = len(np.intersect1d(u, v, assume_unique=True))
                 yield x, y, both / (len(u) + len(v) - both)
         return work
 
