@@ -30,14 +30,14 @@ from ._rows import count_rows, map_rows
 from .languages import LANGUAGES, parse_label
 
 #: Statistics of the distance: medians over lines unless said otherwise; each with the least standard deviation that counts as one.
+#: These least deviations and ``cutoff`` were set by hand on the smallest test tables: template-like prose varies so little that a
+#: covariance without them would take any new kind of verse for an outlier.
 STATISTICS = {
     "letter_share": 0.04, "digit_share": 0.03, "symbol_share": 0.03, "separator_rate": 0.10, "word_length": 0.7, "odd_case_share": 0.03,
     "common_share": 0.10, "line_words": 3.0, "bullet_share": 0.15, "repeated_share": 0.12, "distinct_share": 0.08, "end_mark_share": 0.35,
 }
 NAMES = tuple(STATISTICS)
 FLOOR = np.array(list(STATISTICS.values()))
-#: Directions in which a value is unlike prose: more (1), less (-1) or either (0).
-SIGN = np.array([-1, 1, 1, 1, 0, 1, -1, 0, 1, 1, -1, 0])
 COMMON = 40  # common words per language
 
 _ENDS = ".!?…।。！？»”“\"」』)—:;,"
@@ -158,8 +158,9 @@ class Counter:
             rep[lw[o[1:][same]]] = True
         weight = visible * used
         total = np.maximum(np.bincount(doc, weight, n), 1)
-        pairs = np.unique(np.stack([w_doc.astype(np.uint64), hashes], 1), axis=0) if len(at) else np.zeros((0, 2), np.uint64)
-        distinct = np.bincount(pairs[:, 0].astype(np.int64), minlength=n)
+        o = np.lexsort((hashes, w_doc))
+        d, h = w_doc[o], hashes[o]
+        distinct = np.bincount(d[np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))], minlength=n) if len(at) else np.zeros(n, np.int64)
         safe = np.maximum
         med = lambda v: _weighted_median(doc[used], v[used], weight[used], n)
         wc = np.where(cjk > 0.3 * letters, w_chars * 0 + 5, w_chars / safe(words, 1))  # ideographs count as words of usual length
@@ -404,6 +405,9 @@ def _step(grouped: DataFrame, model: Model, keep: float) -> Model:
     return Model(centre, precision)
 
 
+FIGURES = "doc_key bigint, lang string, n_words bigint, n_lines bigint, n_chars bigint, mean_word_length double, symbol_ratio double, digit_ratio double, end_mark_ratio double, common_ratio double"
+
+
 def rate(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", cutoff: float = 18.0, keep: float = 0.5) -> DataFrame:
     """Every document with its figures, ``distance`` (squared), the contribution of each statistic, the strongest one, and ``natural``.
 
@@ -412,39 +416,23 @@ def rate(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "l
     model = fit(stats, keep)
 
     def make():
-        def work(keys: list, langs: list, words: list, vectors: list) -> Iterable[tuple]:
+        def work(*columns: list) -> Iterable[tuple]:
+            *figures, vectors = columns
             by: dict[str, list[int]] = {}
-            for i, (g, v) in enumerate(zip(langs, vectors)):
+            for i, (g, v) in enumerate(zip(figures[1], vectors)):
                 if v is None:
-                    yield keys[i], None, None, None, None
+                    yield (*(c[i] for c in figures), None, None, None, None)
                 else:
                     by.setdefault(model.group(g), []).append(i)
             for g, at in by.items():
                 d, part = model.distance(np.array([vectors[i] for i in at]), g)
                 for i, x, p in zip(at, d.tolist(), part):
-                    yield keys[i], x, p.tolist(), NAMES[int(p.argmax())], words[i] > 0 and x <= cutoff
+                    yield (*(c[i] for c in figures), x, p.tolist(), NAMES[int(p.argmax())], figures[2][i] > 0 and x <= cutoff)
         return work
 
-    rated = map_rows(stats.select("doc_key", "lang", "n_words", "vector"), make, "doc_key bigint, distance double, contributions array<double>, strongest string, natural boolean")
-    figures = stats.drop("vector").dropDuplicates(["doc_key"])
-    return figures.join(rated.dropDuplicates(["doc_key"]), "doc_key")
+    return map_rows(stats, make, FIGURES + ", distance double, contributions array<double>, strongest string, natural boolean").dropDuplicates(["doc_key"])
 
 
-def found(documents: DataFrame, cutoff: float = 18.0) -> DataFrame:
+def found(documents: DataFrame) -> DataFrame:
     """p8_found: documents the greater part of whose text is not natural writing."""
-    stats = materialise(statistics(documents))
-    model = fit(stats)
-
-    def make():
-        def work(keys: list, langs: list, words: list, vectors: list) -> Iterable[tuple]:
-            groups = np.array([model.group(g) for g in langs], object)
-            x = np.array(vectors, float).reshape(len(vectors), len(NAMES))
-            for g in model.centre:
-                at = np.flatnonzero(groups == g)
-                if len(at):
-                    d = model.distance(x[at], g)[0]
-                    for i in at[(d > cutoff) | (np.array(words)[at] == 0)].tolist():
-                        yield (keys[i],)
-        return work
-
-    return map_rows(stats.filter("vector is not null and doc_key is not null").select("doc_key", "lang", "n_words", "vector"), make, "doc_id bigint").distinct()
+    return rate(documents).filter("not natural and doc_key is not null").select(F.col("doc_key").alias("doc_id"))
