@@ -28,14 +28,14 @@ BINS = 1024
 _SPAN = 1 << 62
 
 
-def plan_source(target: float, supply: int, max_repeats: int) -> tuple[int, float, bool]:
-    """(whole copies, tokens still to sample, reaches its target) of one source."""
+def plan_source(target: float, supply: int, max_repeats: int) -> tuple[int, float]:
+    """(whole copies, tokens still to sample) of one source."""
     if supply <= 0:
-        return 0, 0.0, target <= 0
+        return 0, 0.0
     if target > supply * max_repeats:
-        return max_repeats, 0.0, False
+        return max_repeats, 0.0
     whole = min(int(target // supply), max_repeats)
-    return whole, target - whole * supply, True
+    return whole, target - whole * supply
 
 
 def _crossing(bins: list, n: float) -> tuple[int, int, float] | None:
@@ -61,11 +61,11 @@ class Mix:
         supply = self.docs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()
         self.supply = {r["source"]: r["tokens"] or 0 for r in supply}
         self.size = sum(self.supply.values()) if size is None else size
-        self.plan = {s: plan_source(share * self.size, self.supply[s], repeats) if self.supply.get(s) else (0, 0.0, share <= 0) for s, (share, repeats) in self.targets.items()}
+        self.plan = {s: plan_source(share * self.size, self.supply.get(s, 0), repeats) for s, (share, repeats) in self.targets.items()}
         self._draw()
 
     def _draw(self) -> None:
-        rest = {s: t for s, (_, t, _) in self.plan.items() if t > 0}
+        rest = {s: t for s, (_, t) in self.plan.items() if t > 0}
         self.scale = self._scales(rest)
         p = F.least(F.lit(1.0), self._by_source(self.scale, F.col("source")) * F.col("w"))
         u = (F.pmod(F.xxhash64("doc_key", F.lit(self.seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -148,19 +148,20 @@ class Mix:
 
     def copies(self) -> DataFrame:
         """(doc_id, source, tokens, copies): how often each document is used; documents used no time are left out."""
-        whole = self._by_source({s: w for s, (w, _, _) in self.plan.items()}, F.col("source")).cast("int")
+        whole = self._by_source({s: w for s, (w, _) in self.plan.items()}, F.col("source")).cast("int")
         used = self.docs.select("doc_key", "source", "tokens").join(self.sample.select("doc_key", F.lit(1).alias("extra")), "doc_key", "left")
         return used.select(F.col("doc_key").alias("doc_id"), "source", "tokens", (whole + F.coalesce("extra", F.lit(0))).alias("copies")).filter("copies > 0")
 
     def report(self) -> DataFrame:
-        """One row a source: target and reached share, supply, whole copies, sampled documents, tokens, and whether the target can be reached."""
+        """One row a source: target and reached share, supply, whole copies, sampled documents, tokens, and whether the target can be reached: it cannot
+        where the drawn copies stay below it although every document is used as often as it may be."""
         got = {r["source"]: (r["n"], r["t"]) for r in self.sample.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")).collect()}
         tokens = {s: self.plan[s][0] * self.supply.get(s, 0) + got.get(s, (0, 0))[1] for s in self.targets}
         total = sum(tokens.values())
-        rows = [(s, float(share), repeats, int(self.supply.get(s, 0)), self.plan[s][0], got.get(s, (0, 0))[0], int(tokens[s]), tokens[s] / total if total else 0.0, tokens[s] / self.size if self.size else 0.0, self.plan[s][2]) for s, (share, repeats) in sorted(self.targets.items())]
+        rows = [(s, float(share), repeats, int(self.supply.get(s, 0)), self.plan[s][0], got.get(s, (0, 0))[0], int(tokens[s]), tokens[s] / total if total else 0.0, tokens[s] / self.size if self.size else 0.0, share <= 0 or 0 < tokens[s] >= share * self.size or tokens[s] < self.supply.get(s, 0) * repeats) for s, (share, repeats) in sorted(self.targets.items())]
         return self.docs.sparkSession.createDataFrame(rows, "source string, target_share double, max_repeats int, supply_tokens bigint, whole_copies int, sampled_docs bigint, tokens bigint, reached_share double, share_of_size double, reachable boolean")
 
 
 def found(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """p7_found: sources that cannot reach their target."""
+    """p7_found: sources whose drawn copies cannot reach their target."""
     return Mix(documents, targets).report().filter("not reachable").select("source")
