@@ -7,8 +7,8 @@ deficits are carried across partitions as well. The rest of a window that the le
 to the largest waiting document that does, which pays from its own queue's deficit.
 
 A document above the capacity is cut into full containers and one rest; nothing else is cut, nothing is dropped. A partition holds documents of
-about ``windows`` containers, whatever their sources, so a hot source is spread, and memory and the unused space of each partition's last
-container stay bounded. Targets default to the sources' own shares of all tokens, the only ones every window can keep to the end;
+about ``windows`` containers, whatever their sources, so a hot source is spread and memory stays bounded. What lies in each partition's last
+container is taken out again and packed together, so that space left over does not grow with the number of partitions. Targets default to the sources' own shares of all tokens, the only ones every window can keep to the end;
 a source without target is served by what it holds, and one that runs out leaves its share to the others.
 
 Defined cases: a NULL text or one without tokens takes no space and has one empty piece in container NULL; a NULL source is a queue of its own; of repeated
@@ -22,7 +22,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, ship
@@ -99,7 +99,7 @@ class Packer:
         return None
 
 
-def pack(df: DataFrame, capacity: int, key: str = "doc_id", text: str = "text", source: str = "source", targets: dict[str, float] | None = None, windows: int = 1000) -> DataFrame:
+def pack(df: DataFrame, capacity: int, key: str = "doc_id", text: str = "text", source: str = "source", targets: dict[str, float] | None = None, windows: int = 128) -> DataFrame:
     """One row per piece: (doc_id, piece, pieces, source, first_token, tokens, container, at)."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
@@ -120,30 +120,51 @@ def pack(df: DataFrame, capacity: int, key: str = "doc_id", text: str = "text",
     grid = parts.select("part", "before_all", owed.alias("k")).select("part", "before_all", "k.source", "k.w")
     got = _running(grid.join(by_part, (grid["part"] == by_part["part"]) & grid["source"].eqNullSafe(by_part["source"]), "left").select(grid["part"], grid["source"], "before_all", "w", F.coalesce("n", F.lit(0)).alias("n")), ["n"], ["source"])
     opening = got.groupBy("part").agg(F.collect_list(F.struct("source", (F.col("w") * F.col("before_all") - F.col("before_n")).alias("d"))).alias("opening"))
-    work = placed.filter("tokens > 0").join(opening, "part").select("part", "doc_key", "source", "tokens", "opening")
+    work = placed.filter("tokens > 0").join(opening, "part").select("part", "doc_key", "source", "tokens", "opening", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("first"), F.ceil(F.col("tokens") / capacity).cast("int").alias("pieces"))
     ship(spark)
+    full = materialise(_level(work, n, capacity, share, ""))
+    tail = full.filter("open")
+    left = tail.agg(F.sum("tokens")).first()[0] or 0
+    m = max(1, math.ceil(left / (capacity * windows)))
+    owed_nothing = F.array(*[F.struct(F.lit(s).cast("string").alias("source"), F.lit(0.0).alias("d")) for s in share])
+    again = tail.select(F.pmod(F.xxhash64("doc_id"), F.lit(m)).cast("int").alias("part"), F.col("doc_id").alias("doc_key"), "source", "tokens", owed_nothing.alias("opening"), "piece", F.col("first_token").alias("first"), "pieces")
+    packed = full.filter("not open").drop("open").unionByName(_level(again, m, capacity, share, "t").drop("open"))
+    none = placed.filter("tokens = 0").select(F.col("doc_key").alias("doc_id"), F.lit(0).alias("piece"), F.lit(1).alias("pieces"), "source", F.lit(0).cast("bigint").alias("first_token"), "tokens", F.lit(None).cast("string").alias("container"), F.lit(None).cast("int").alias("at"))
+    return packed.unionByName(none)
+
 
+def _level(work: DataFrame, n: int, capacity: int, share: dict[str | None, float], prefix: str) -> DataFrame:
+    """One packing of (part, doc_key, source, tokens, opening, piece, first, pieces) rows, a task for each of n partitions; ``open``: in its partition's last container, which is not full."""
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         part = rows[0]["part"]
         packer = Packer(capacity, share, {x["source"]: x["d"] for x in rows[0]["opening"]})
-        size = {r["doc_key"]: r["tokens"] for r in rows}
-        out = [(k, p, -(-size[k] // capacity), s, f, t, f"{part}-{w}", a) for k, s, p, f, t, w, a in packer.pack((r["doc_key"], r["source"], r["tokens"]) for r in rows)]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32()]
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+        row = {r["doc_key"]: r for r in rows}
+        out = list(packer.pack((r["doc_key"], r["source"], r["tokens"]) for r in rows))
+        last = max(w for *_, w, _ in out)
+        loose = sum(t for _, _, _, _, t, w, _ in out if w == last) < capacity
+        made = [(k, row[k]["piece"] + p, row[k]["pieces"], s, row[k]["first"] + f, t, f"{prefix}{part}-{w}", a, loose and w == last) for k, s, p, f, t, w, a in out]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*made), types)], names=[x.split()[0] for x in (SCHEMA + ", open").split(", ")])
 
-    full = work.groupBy("part").applyInArrow(run, SCHEMA)
-    none = placed.filter("tokens = 0").select(F.col("doc_key").alias("doc_id"), F.lit(0).alias("piece"), F.lit(1).alias("pieces"), "source", F.lit(0).cast("bigint").alias("first_token"), "tokens", F.lit(None).cast("string").alias("container"), F.lit(None).cast("int").alias("at"))
-    return full.unionByName(none)
+    return work.repartition(n, "part").groupBy("part").applyInArrow(run, SCHEMA + ", open boolean")
 
 
-def _running(df: DataFrame, cols: list[str], per: list[str]) -> DataFrame:
-    """Adds before_<col>: the sum over smaller partition numbers (per group), over one small row a partition and group."""
-    from pyspark.sql import Window
+BLOCK = 1000  # partitions whose sums are added up together
 
-    w = Window.partitionBy(*per).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"before_{c}") for c in cols])
+
+def _running(df: DataFrame, cols: list[str], per: list[str]) -> DataFrame:
+    """Adds before_<col>: the sum over smaller partition numbers (per group), from one small row a partition and group. Blocks of partitions are added
+    up first, so that no task orders more than the blocks or the rows of one block."""
+    df = df.withColumn("_block", F.floor(F.col("part") / BLOCK))
+    sums = df.groupBy(*per, "_block").agg(*[F.sum(c).alias(f"_{c}") for c in cols])
+    before = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(c).alias(f"_p_{c}") for c in per], F.col("_block").alias("_b"), *[F.coalesce(F.sum(f"_{c}").over(before(per, "_block")), F.lit(0)).alias(f"_{c}") for c in cols])
+    on = F.col("_block") == F.col("_b")
+    for c in per:
+        on = on & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
+    inner = before([*per, "_block"], "part")
+    return df.join(offsets, on).select(*df.columns[:-1], *[(F.coalesce(F.sum(c).over(inner), F.lit(0)) + F.col(f"_{c}")).alias(f"before_{c}") for c in cols])
 
 
 def containers(packed: DataFrame, capacity: int) -> DataFrame:
@@ -151,6 +172,20 @@ def containers(packed: DataFrame, capacity: int) -> DataFrame:
     return packed.filter("container is not null").groupBy("container").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens")).withColumn("unused", F.lit(capacity) - F.col("tokens"))
 
 
+def mixture(packed: DataFrame, capacity: int, targets: dict[str | None, float] | None = None) -> DataFrame:
+    """(container, pieces, tokens, unused, source, share, target, deviation): the source whose share of a container's tokens is farthest from its target.
+    Targets default to the sources' own shares, as in ``pack``."""
+    per = packed.filter("container is not null").groupBy("container", F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("n"))
+    if targets is None:
+        every = {r["source"]: r["n"] for r in per.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # one row a source
+        targets = {s: n / max(1, sum(every.values())) for s, n in every.items()}
+    whole = per.groupBy("container").agg(F.sum("pieces").alias("pieces"), F.sum("n").alias("tokens"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("m"))
+    wanted = F.array(*[F.struct(F.lit(s or "").alias("source"), F.lit(float(w)).alias("target")) for s, w in targets.items()])
+    share = lambda x: F.coalesce(F.col("m")[x["source"]], F.lit(0)) / F.col("tokens")
+    far = F.array_max(F.transform(wanted, lambda x: F.struct(F.abs(share(x) - x["target"]).alias("deviation"), x["source"].alias("source"), share(x).alias("share"), x["target"].alias("target"))))
+    return whole.select("container", "pieces", "tokens", (F.lit(capacity) - F.col("tokens")).alias("unused"), far.alias("f")).select("container", "pieces", "tokens", "unused", "f.source", "f.share", "f.target", "f.deviation")
+
+
 def capacity_of(limits: DataFrame, kind: str = "training_window") -> int:
     r = limits.filter(F.col("container_kind") == kind).agg(F.min("capacity_tokens")).first()
     if r[0] is None:

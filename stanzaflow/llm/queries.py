@@ -91,6 +91,13 @@ def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), packing.capacity_of(_table(spark, sf_dir, "pack_limits")))
 
 
+def p6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    capacity = packing.capacity_of(_table(spark, sf_dir, "pack_limits"))
+    return packing.mixture(packing.pack(_table(spark, sf_dir, "documents"), capacity), capacity)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -121,7 +128,7 @@ def p8_rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_groups, p3_found, p3_canonical, p4_found, p4_sentences, p5_found, p5_annotators, p5_agreement, p6_found, p6_packed, p7_found, p7_report, p7_copies, p8_found, p8_rated)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_groups, p3_found, p3_canonical, p4_found, p4_sentences, p5_found, p5_annotators, p5_agreement, p6_found, p6_packed, p6_mixture, p7_found, p7_report, p7_copies, p8_found, p8_rated)}
 #: Where SQL can tell the same on whole tables: the cases of problems 6 and 7 are the same for any tokenizer, words and characters included.
 ORACLES: dict[str, str] = {
     "p5_agreement": """WITH v AS (SELECT annotator, item, arg_max(l, (created_at, id, l)) AS l FROM (SELECT lower(trim(annotator_id)) AS annotator, poem_id AS item, created_at, id, lower(regexp_replace(trim(perspective_primary), '\\s+', ' ', 'g')) AS l FROM poem_perspectives) WHERE l IN ('1st person', '2nd person', '3rd person', 'mixed', 'other') GROUP BY annotator, item),

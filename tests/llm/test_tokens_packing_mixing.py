@@ -59,9 +59,24 @@ def test_pack(spark):
     assert P.pack(d.limit(0), 64).count() == 0
 
 
+def test_many_partitions_keep_mixture_and_space(spark, monkeypatch):
+    """Deficits are carried over partitions, the last containers are packed together, and prefix sums go by blocks."""
+    monkeypatch.setattr(P, "BLOCK", 3)
+    d = docs(spark, [3 + (i * 7) % 30 for i in range(3000)], lambda i: "a" if i % 3 else "b" if i % 2 else None)
+    p = P.pack(d, 1000, windows=24)
+    parts = {r["container"].split("-")[0] for r in p.select("container").distinct().collect()}
+    assert len(parts) > 4 and p.count() == 3000
+    m = P.mixture(p, 1000).collect()
+    assert max(r["tokens"] for r in m) <= 1000
+    assert sum(r["unused"] for r in m) <= 0.003 * 1000 * len(m) + 1000
+    assert sorted(r["deviation"] for r in m)[int(0.9 * len(m))] < 0.2
+    running = P._running(spark.createDataFrame([(i, s, i + 1) for i in range(10) for s in (None, "x")], "part int, source string, n bigint"), ["n"], ["source"])
+    assert all(r["before_n"] == r["part"] * (r["part"] + 1) // 2 for r in running.collect())
+
+
 def test_plan():
-    assert M.plan_source(100, 40, 3) == (2, 20, True) and M.plan_source(100, 30, 3) == (3, 0.0, False)
-    assert M.plan_source(90, 30, 3) == (3, 0, True) and M.plan_source(5, 0, 3) == (0, 0.0, False) and M.plan_source(0, 0, 1)[2]
+    assert M.plan_source(100, 40, 3) == (2, 20) and M.plan_source(100, 30, 3) == (3, 0.0)
+    assert M.plan_source(90, 30, 3) == (3, 0) and M.plan_source(5, 0, 3) == (0, 0.0)
 
 
 def test_mix(spark):
