@@ -147,3 +147,14 @@ def exposure_column(kind: str) -> str:
     if kind not in names:
         raise ValueError(f"unknown exposure {kind!r}; one of {sorted(names)}")
     return names[kind]
+
+
+def primary_for_bh(stratum: Column) -> Column:
+    """Does a stratum belong to the primary family of the adjustment (O-P16)? The pooled one does not; an unknown one gives NULL."""
+    return F.when(stratum.isin(*(k for k, v in STRATA.items() if len(v) == 1)), True).when(stratum.isin(*STRATA), False)
+
+
+def lookup(c: Column, table: dict[str, str], other: Column | None = None) -> Column:
+    """A value through a small literal table (O-J09); values outside it become ``other``."""
+    m = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.coalesce(m[c], other if other is not None else F.lit(None).cast("string"))

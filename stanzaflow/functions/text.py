@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import segment as S
+
 #: Everything that Python and Unicode call white space, spelled out so that other engines' patterns agree.
 SPACE = r"\t-\r\x1c-\x20\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = "[A-Za-zА-Яа-яЁёІіЇїЄєҐґ’'ʼ-]+"
@@ -108,9 +110,6 @@ def parsed_date(c: Column) -> Column:
 
 
 def tags(c: Column) -> Column:
-    """Boundary kind of a line: asterisk, rule, number, number_text, date or NULL (O-F05)."""
-    return (
-        F.when(c.rlike(r"^\s*(?:\*\s*){2,}$"), "asterisk").when(c.rlike(r"^\s*[-_=]{3,}\s*$"), "rule")
-        .when(c.rlike(r"^\s*(?:[IVXLCDM]{1,8}|[ivxlcdm]{1,8}|\d{1,2})\.\s*$"), "number").when(c.rlike(r"^\s*(?:\d{1,2}|[IVXLCDM]{1,8}|[ivxlcdm]{1,8})\.\s+\S"), "number_text")
-        .when(c.rlike(r"^\s*\d{1,2}\.\d{1,2}\.(?:\d{2}|\d{4})?\s*$"), "date")
-    )
+    """Boundary kind of a line: asterisk, rule, number, number_text, date or NULL (O-F05), by the patterns of ``segment``."""
+    kinds = dict(zip(("asterisk", "rule", "number", "number_text"), (p for p, _ in S.BOUNDARIES.values()))) | {"date": rf"\s*{S.TRAILING_DATE}\s*"}
+    return F.coalesce(*[F.when(c.rlike(rf"^(?:{p})$"), name) for name, p in kinds.items()])

@@ -145,3 +145,13 @@ def longest_values(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def ranked(df: DataFrame, part: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
     """The first n rows of each part (O-L04, L05, L06): Spark limits each part before its shuffle."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(*order))).filter(F.col(name) <= n)
+
+
+def stripped_columns(df: DataFrame) -> DataFrame:
+    """Column names without outer blanks (O-P33)."""
+    return df.toDF(*[c.strip() for c in df.columns])
+
+
+def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """Missing columns added with a default; present ones stay as they are (O-P33)."""
+    return df.withColumns({c: F.lit(v) for c, v in defaults.items() if c not in df.columns})

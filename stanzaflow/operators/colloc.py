@@ -78,17 +78,35 @@ def edge_dice(pairs: DataFrame, freq: DataFrame) -> DataFrame:
     return pairs.join(fa, "a").join(fb, "b").withColumn("log_dice", 14 + F.log2(2 * F.col("n") / (F.col("fa") + F.col("fb")).cast("double")))
 
 
-def ego(edges: DataFrame, focal: list[str], k: int) -> DataFrame:
-    """The k nearest neighbours of each focal word (O-C05, O-L05)."""
-    both = edges.select(F.col("a").alias("focal"), F.col("b").alias("neighbour"), "n", "log_dice").unionByName(edges.select(F.col("b").alias("focal"), F.col("a").alias("neighbour"), "n", "log_dice"))
+def focal_pairs(df: DataFrame, words: str, focal: list[str], least: int) -> DataFrame:
+    """(focal, neighbour, n): units that hold a focal word and another word (O-C05). Units without a focal word leave before anything is paired."""
+    ws = F.array_distinct(words)
+    mine = df.select(ws.alias("ws"), F.array_intersect(ws, F.array(*[F.lit(f) for f in focal])).alias("fs")).filter(F.size("fs") > 0)
+    met = mine.select("ws", F.explode("fs").alias("focal")).select("focal", F.explode("ws").alias("neighbour")).filter("focal <> neighbour")
+    return met.groupBy("focal", "neighbour").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+
+
+def ego(pairs: DataFrame, freq: DataFrame, k: int) -> DataFrame:
+    """The k nearest neighbours of each focal word by log-Dice (O-C05, O-L05) from its pairs and the word frequencies (w, n)."""
+    f = freq.join(pairs.select(F.col("focal").alias("w")).distinct(), "w", "left_semi").select(F.col("w").alias("focal"), F.col("n").alias("ff"))
+    scored = pairs.join(freq.select(F.col("w").alias("neighbour"), F.col("n").alias("fn")), "neighbour").join(f, "focal")
+    scored = scored.select("focal", "neighbour", "n", (14 + F.log2(2 * F.col("n") / (F.col("ff") + F.col("fn")).cast("double"))).alias("log_dice"))
     w = Window.partitionBy("focal").orderBy(F.desc("log_dice"), F.desc("n"), "neighbour")
-    return both.filter(F.col("focal").isin(focal)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def second_order(edges: DataFrame, ego_edges: DataFrame) -> DataFrame:
-    """Edges between the ego network's own nodes (O-C05)."""
-    nodes = ego_edges.select(F.col("neighbour").alias("x")).unionByName(ego_edges.select(F.col("focal").alias("x"))).distinct()
-    return edges.join(nodes.withColumnRenamed("x", "a"), "a", "left_semi").join(nodes.withColumnRenamed("x", "b"), "b", "left_semi")
+def second_order(df: DataFrame, unit: list[str], words: str, ego_edges: DataFrame, least: int) -> DataFrame:
+    """(a, b, n) among the ego network's own nodes (O-C05): only their words are paired; nodes are focal words x (k + 1) at most."""
+    nodes = ego_edges.select(F.explode(F.array("focal", "neighbour")).alias("w")).distinct()
+    seen = df.select(*unit, F.explode(F.array_distinct(words)).alias("w")).join(nodes, "w", "left_semi")
+    return cooccurrence(seen.groupBy(*unit).agg(F.collect_list("w").alias("_ws")), unit, "_ws", least)
+
+
+def shared_vocabulary(df: DataFrame, word: str, period: str, before: str, after: str, least: int) -> DataFrame:
+    """(word, n_before, n_after): words met at least ``least`` times in both periods (O-J15, O-U04). One aggregate finds what an intersection of two
+    vocabularies joined to their counts would."""
+    n = lambda p: F.sum((F.col(period) == p).cast("bigint"))
+    return df.groupBy(word).agg(n(before).alias("n_before"), n(after).alias("n_after")).filter((F.col("n_before") >= least) & (F.col("n_after") >= least))
 
 
 def ngrams(words: Column, n: int) -> Column:

@@ -18,13 +18,18 @@ def cell_table(tokens: DataFrame, key: str = "poem_id", cell: str = "cell", cell
     return out.withColumn("n_total", sum((F.col(f"`{c}`") for c in (total or cells)), F.lit(0)))
 
 
-def stanza_exposure(stanzas: DataFrame, key: str = "poem_id", index: str = "stanza_index", text: str = "text") -> DataFrame:
-    """Two levels: tokens per (poem, stanza) over its distinct texts, then sums, bounds and index gaps per poem (O-A05, O-A06)."""
-    first = stanzas.filter(F.col(index).isNotNull()).select(key, index, T.token_count(F.col(text)).alias("n"), text).distinct()
-    each = first.groupBy(key, index).agg(F.sum("n").alias("n"))
+def stanza_exposure(stanzas: DataFrame, key: str = "poem_id", index: str = "stanza_index", text: str = "text", order: list[str] | None = None, verbs: DataFrame | None = None) -> DataFrame:
+    """Two levels: tokens of each stanza's first text (in ``order``; NULL texts do not count as one), then sums, bounds and index gaps per poem (O-A05,
+    O-A06). ``verbs`` holds (key, index, n_finite_verbs, ...): its counts are joined by both and added up, 0 where a stanza has none (O-J02)."""
+    n = T.token_count(F.col(text))
+    rank = F.when(F.col(text).isNotNull(), F.struct(*(order or [text])))
+    each = stanzas.filter(F.col(index).isNotNull()).groupBy(key, index).agg(F.coalesce(F.min_by(n, rank), F.lit(0)).alias("n"))
+    more = [c for c in verbs.columns if c not in (key, index)] if verbs is not None else []
+    if verbs is not None:
+        each = each.join(verbs, [key, index], "left").fillna(0, more)
     out = each.groupBy(key).agg(
         F.count(F.lit(1)).alias("exposure_n_stanzas"), F.max(index).alias("exposure_n_stanza_index_max"), F.sum("n").alias("exposure_n_tokens"),
-        F.min("n").alias("min_tokens"), F.max("n").alias("max_tokens"))
+        F.min("n").alias("min_tokens"), F.max("n").alias("max_tokens"), *[F.sum(c).alias(f"exposure_{c}") for c in more])
     return out.withColumn("has_index_gap", F.col("exposure_n_stanzas") != F.col("exposure_n_stanza_index_max"))
 
 
@@ -140,3 +145,37 @@ def pct_deltas(df: DataFrame, group: str, period: str, value: str, before: str,
     """Mean shares before and after, and the difference (O-A23)."""
     m = lambda p: F.avg(F.when(F.col(period) == p, F.col(value)))
     return df.groupBy(group).agg(m(before).alias("mean_before"), m(after).alias("mean_after")).withColumn("delta", F.col("mean_after") - F.col("mean_before"))
+
+
+def composition(df: DataFrame, by: list[str], cells: list[str], author: str = "author") -> DataFrame:
+    """Shares of each cell in all counts of a group, weighted by tokens, with its authors and poems (O-A24); groups without counts are left out."""
+    total = sum(F.sum(f"`{c}`") for c in cells)
+    out = df.groupBy(*by).agg(F.countDistinct(author).alias("n_authors"), F.count(F.lit(1)).alias("n_poems"), total.alias("n"), *[F.sum(f"`{c}`").alias(f"_{c}") for c in cells])
+    return out.filter("n > 0").select(*by, "n_authors", "n_poems", *[(F.col(f"`_{c}`") / F.col("n")).alias(f"share_{c}") for c in cells])
+
+
+def level_counts(df: DataFrame, column: str, last: str = "missing") -> DataFrame:
+    """(level, n, position): values by frequency then alphabet, blank and unknown ones as ``last`` at the end (O-A34)."""
+    v = F.trim(F.coalesce(F.col(column), F.lit("")))
+    level = F.when(F.lower(v).isin("", "unknown", "nan"), last).otherwise(v)
+    c = df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return c.withColumn("position", F.row_number().over(Window.orderBy(F.col("level") == last, F.desc("n"), "level")))  # one row a level
+
+
+def pivot_sums(df: DataFrame, row: list[str], column: str, values: list[str], value: str) -> DataFrame:
+    """Sum and mean of a value per row and named column (O-A31)."""
+    at = lambda f, v: f(F.when(F.col(column) == v, F.col(value)))
+    return df.groupBy(*row).agg(*[at(f, v).alias(f"{n}_{v}") for v in values for n, f in (("sum", F.sum), ("mean", F.avg))])
+
+
+def positive_share(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Share of specifications with a positive estimate (O-A32); missing estimates do not count."""
+    return df.groupBy(*by).agg(F.count(value).alias("n_specs"), F.avg((F.col(value) > 0).cast("double")).alias("share_positive"))
+
+
+def in_order(df: DataFrame, preferred: list[str], value: str, *rest: Column) -> DataFrame:
+    """Rows numbered from 1: preferred values first and in their order, the others after them, without case (O-L14, O-L15, O-W03). For category
+    and result tables: all rows are numbered together."""
+    first = F.array_position(F.array(*[F.lit(p) for p in preferred]), F.col(value))
+    order = [F.when(first > 0, first).otherwise(len(preferred) + 1), *rest, F.lower(value), F.col(value)]
+    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)))

@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # Pronoun forms of the second person plural, and the rule names in the order they are checked.
 SECOND_PLURAL = ("ви", "вы", "вас", "вам", "вами")
 
@@ -136,3 +138,35 @@ def typology(df: DataFrame, person: str, number: str) -> DataFrame:
     side = lambda c, mid, up, down: F.when(F.col(c) >= F.col(mid), up).otherwise(down)
     far = (F.abs(F.col(person) - F.col("_mp")) > F.col("_sp")) | (F.abs(F.col(number) - F.col("_mn")) > F.col("_sn"))
     return j.withColumn("type", F.concat_ws("_", side(person, "_mp", "person_up", "person_down"), side(number, "_mn", "number_up", "number_down"))).withColumn("discordant", F.signum(person) * F.signum(number) < 0).withColumn("extreme", far).drop("_mp", "_mn", "_sp", "_sn")
+
+
+def sentence_windows(df: DataFrame, text: str, context: str, size: int = 2) -> DataFrame:
+    """Adds context_-2 .. context_+2: the sentences (cut at full stops) around the one that equals ``context``, else the first that holds it or lies in it
+    (O-W09, O-G14); empty strings outside the text or where nothing fits."""
+    blank = F.lit(" \t\r\n")
+    sentences = F.filter(F.transform(F.split(text, r"\."), lambda x: F.btrim(x, blank)), lambda x: x != "")
+    at = F.btrim(F.col(context), blank)
+    loose = F.array_position(F.transform(sentences, lambda x: F.contains(x, at) | F.contains(at, x)), True)
+    exact = F.array_position(sentences, at)
+    here = F.coalesce(F.when(exact > 0, exact).when(loose > 0, loose), F.lit(-size)).cast("int")
+    near = lambda i: F.when((here > 0) & (here + i > 0), F.try_element_at(sentences, F.when(here + i > 0, here + i).otherwise(1)))
+    return df.withColumns({f"context_{i:+d}": F.coalesce(near(i), F.lit("")) for i in range(-size, size + 1)})
+
+
+def token_windows(marks: DataFrame, texts: DataFrame, key: str, id_: str, position: str, text: str, size: int = 5) -> DataFrame:
+    """(id, window): the tokens up to ``size`` before and after each marked position (from 0) of its text, joined by blanks (O-W10). Marks are gathered
+    per text first, so a text is moved once however many marks it has."""
+    mine = marks.filter(F.col(position).isNotNull()).groupBy(key).agg(F.collect_list(F.struct(id_, position)).alias("_m"))
+    words = texts.select(key, F.regexp_extract_all(text, F.lit(f"[^{T.SPACE}]+"), F.lit(0)).alias("_w"))
+    each = words.join(mine, key).select("_w", F.explode("_m").alias("m"))
+    first = F.greatest(F.lit(0), F.col(f"m.{position}") - size)
+    last = F.least(F.size("_w"), F.col(f"m.{position}") + size + 1)
+    return each.select(F.col(f"m.{id_}").alias(id_), F.array_join(F.when(last > first, F.slice("_w", first + 1, F.greatest(last - first, F.lit(0)))).otherwise(F.array().cast("array<string>")), " ").alias("window"))
+
+
+def merged_detections(df: DataFrame, keys: list[str], lists: dict[str, str]) -> DataFrame:
+    """Several arrays of detections as rows with their fields as columns and a ``method`` naming the array (O-R02); rows without any stay once."""
+    def tagged(method: str, c: str) -> Column:
+        return F.transform(F.coalesce(F.col(c), F.array().cast(dict(df.dtypes)[c])), lambda d: F.struct(d.alias("d"), F.lit(method).alias("method")))
+
+    return df.select(*keys, F.explode_outer(F.concat(*[tagged(m, c) for m, c in lists.items()])).alias("e")).select(*keys, "e.method", "e.d.*")

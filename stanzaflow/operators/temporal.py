@@ -78,18 +78,28 @@ def intervals(binned: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     return tagged, info.withColumn("interval_label", interval_label(F.col("start_date"), F.col("end_date")))
 
 
+def bin_intervals(binned: DataFrame) -> DataFrame:
+    """(interval_id, start_date, end_date, n_poems, n_weight): runs of equal bins in order of days (O-W12). Bins rise with the days, so a run is a bin; numbers
+    start at 1 and leave nothing out."""
+    runs = binned.groupBy("bin").agg(F.min("day").alias("start_date"), F.max("day").alias("end_date"), F.count(F.lit(1)).alias("n_poems"), F.sum("weight").alias("n_weight"))
+    return runs.withColumn("interval_id", F.row_number().over(Window.orderBy("bin"))).drop("bin")  # one row a bin
+
+
 def adaptive_bins(poems: DataFrame, key: str, months: int = 2, least: int = 30) -> tuple[DataFrame, DataFrame]:
     """Calendar bins of n months, merged to at least ``least`` poems (O-T03)."""
     return intervals(poems.select(key, "day", "weight", month_bucket(F.col("day"), months).alias("bin")), least)
 
 
-def interval_join(df: DataFrame, day: str, table: DataFrame, months: int = 12) -> DataFrame:
-    """Rows with the first interval that holds their day, ends included (O-J05). Both sides meet in month buckets, so it stays an equi-join
-    however many intervals there are; a row in several intervals keeps the least id."""
-    rows = df.withColumn("_b", month_bucket(F.to_date(day), months)).withColumn("_id", F.monotonically_increasing_id())
-    spread = table.select("interval_id", "start_date", "end_date", F.explode(F.sequence(month_bucket(F.col("start_date"), months), month_bucket(F.col("end_date"), months))).alias("_b"))
-    met = rows.join(spread, "_b").filter((F.to_date(day) >= F.col("start_date")) & (F.to_date(day) <= F.col("end_date")))
-    return met.groupBy(*[c for c in df.columns], "_id").agg(F.min("interval_id").alias("interval_id")).drop("_id")
+def interval_join(df: DataFrame, day: str, table: DataFrame, months: int = 1) -> DataFrame:
+    """Rows with the first interval that holds their day, ends included (O-J05). Both sides meet in buckets of ``months`` months, whose few intervals are
+    gathered on the small side, so a row meets one row of the other side: an equi-join however many intervals there are, without a shuffle after it. A row
+    in several intervals keeps the least id."""
+    span = F.sequence(month_bucket(F.col("start_date"), months), month_bucket(F.col("end_date"), months))
+    spread = table.select(F.explode(span).alias("_b"), F.struct("interval_id", "start_date", "end_date").alias("i")).groupBy("_b").agg(F.sort_array(F.collect_list("i")).alias("_i"))
+    d = F.to_date(day)
+    met = df.withColumn("_b", month_bucket(d, months)).join(spread, "_b")
+    first = F.get(F.filter("_i", lambda i: (i["start_date"] <= d) & (d <= i["end_date"])), F.lit(0))
+    return met.withColumn("interval_id", first["interval_id"]).filter("interval_id is not null").drop("_b", "_i")
 
 
 def break_terms(day: Column, cuts: dict[str, str], origin: str) -> dict[str, Column]:

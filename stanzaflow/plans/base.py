@@ -15,36 +15,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def poems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct poems; identical rows occur."""
+POEM = ("poem_id", "author", "year", "language")
+
+
+def _poem_column(name: str) -> F.Column:
+    if name == "n_tokens":
+        return T.token_count(F.col("text")).cast("bigint").alias(name)
+    if name == "period3":
+        return E.period_p1_p2(F.col("year")).alias(name)
+    source = {"poem_id": "ID", "posted": "date"}.get(name, name)
+    c = F.trim(source) if name == "language" else F.col(source).cast("bigint") if name == "n_stanzas" else F.col(source)
+    return c.alias(name)
+
+
+def poems(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Distinct poems; identical rows occur. Only the columns asked for are read and compared, so the text is shuffled only where it is asked for."""
     p = table(spark, sf_dir, "poems_for_manual_annotation")
-    return p.select(F.col("ID").alias("poem_id"), "author", "year", F.col("date").alias("posted"), "temporal_period", F.trim("language").alias("language"), F.col("n_stanzas").cast("bigint").alias("n_stanzas"), "text").distinct()
+    return p.select(*map(_poem_column, columns)).distinct()
+
 
+def _annotation_column(name: str) -> F.Column:
+    if name == "cell":
+        return E.six_way(F.trim("person"), E.number_label(F.col("number"))).alias(name)
+    if name == "num":
+        return E.number_label(F.col("number")).alias(name)
+    if name == "annotator":
+        return F.lower(F.trim("annotator_id")).alias(name)
+    return (F.trim("person") if name == "person" else F.col("sentence_id").cast("bigint") if name == "sentence_id" else F.col(name)).alias(name)
 
-def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct records, labels in one spelling, with their cell."""
-    a = table(spark, sf_dir, "annotations")
-    a = a.select("id", F.lower(F.trim("annotator_id")).alias("annotator"), "poem_id", F.col("sentence_id").cast("bigint").alias("sentence_id"), "no_pronoun", "pronoun", "lemma", F.trim("person").alias("person"), E.number_label(F.col("number")).alias("num"), "is_dropped", "created_at").distinct()
-    return a.withColumn("cell", E.six_way(F.col("person"), F.col("num")))
 
+def annotations(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Distinct records, labels in one spelling: the id and the columns asked for."""
+    return table(spark, sf_dir, "annotations").select("id", *[_annotation_column(c) for c in columns if c != "id"]).distinct()
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = poems(spark, sf_dir).select("poem_id", "author", "year", "language", "n_stanzas").withColumn("period3", E.period_p1_p2(F.col("year")))
-    return annotations(spark, sf_dir).join(p, "poem_id", "left")
 
+def tokens(spark: SparkSession, sf_dir: str, columns: tuple[str, ...], poem: tuple[str, ...]) -> DataFrame:
+    """Records with ``columns``, joined to what ``poem`` names of their poems; records without a poem stay."""
+    return annotations(spark, sf_dir, "poem_id", *columns).join(poems(spark, sf_dir, "poem_id", *poem), "poem_id", "left")
 
-def poem_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotated poems with their four cell counts, exposures and metadata."""
+
+def poem_table(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Annotated poems with their four cell counts, author, language, stanzas, period and what ``more`` names."""
     from ..operators.counts import cell_table
 
-    counts = cell_table(annotations(spark, sf_dir), cells=FOUR)
-    p = poems(spark, sf_dir).withColumn("period3", E.period_p1_p2(F.col("year"))).withColumn("n_tokens", T.token_count(F.col("text")).cast("bigint"))
-    return counts.join(p.drop("text", "temporal_period"), "poem_id")
+    counts = cell_table(annotations(spark, sf_dir, "poem_id", "cell"), cells=FOUR)
+    return counts.join(poems(spark, sf_dir, "poem_id", "author", "language", "n_stanzas", "period3", *more), "poem_id")
+
+
+def poem_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(poem_id, text): one text a poem, the least where there are several; shuffled by the id alone."""
+    p = table(spark, sf_dir, "poems_for_manual_annotation")
+    return p.groupBy(F.col("ID").alias("poem_id")).agg(F.min("text").alias("text"))
 
 
 def stanzas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = poems(spark, sf_dir).select("poem_id", "language", "year", F.posexplode(F.split("text", r"\n(?:[ \t]*\n)+")).alias("i", "stanza"))
-    return s.select("poem_id", "language", "year", (F.col("i") + 1).cast("bigint").alias("stanza_index"), "stanza")
+    s = poem_texts(spark, sf_dir).select("poem_id", F.posexplode(F.split("text", r"\n(?:[ \t]*\n)+")).alias("i", "stanza"))
+    return s.select("poem_id", (F.col("i") + 1).cast("bigint").alias("stanza_index"), "stanza")
 
 
 SQL_P = """p AS (SELECT DISTINCT ID AS poem_id, author, year, "date" AS posted, temporal_period, trim(language) AS language, n_stanzas::BIGINT AS n_stanzas, text FROM poems_for_manual_annotation)"""

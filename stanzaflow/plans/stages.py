@@ -8,6 +8,8 @@ from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import materialise
+
 
 @dataclass(frozen=True)
 class Stage:
@@ -68,13 +70,14 @@ class Registry:
         return out
 
     def run(self, spark: SparkSession, wanted: Iterable[str], dry: bool = False) -> tuple[list[str], dict[str, DataFrame]]:
-        """Runs in order and stops at the first failure (O-X05); results used by several stages are persisted."""
+        """Runs in order and stops at the first failure (O-X05): each stage is carried out and written to the shared folder before the next one begins."""
         plan = self.order(wanted)
         results: dict[str, DataFrame] = {}
         if not dry:
-            uses = {n: sum(n in self.get(m).needs for m in plan) for n in plan}
             for n in plan:
                 s = self.get(n)
-                df = s.run(spark, {k: results[k] for k in s.needs})
-                results[n] = df.persist() if uses[n] > 1 else df
+                try:
+                    results[n] = materialise(s.run(spark, {k: results[k] for k in s.needs}))
+                except Exception as e:
+                    raise RuntimeError(f"stage {n} failed; done before it: {', '.join(results) or 'none'}") from e
         return plan, results

@@ -55,7 +55,7 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stanzaflow-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    remove_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
@@ -68,6 +68,10 @@ def discard(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(_remove, spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -100,8 +100,9 @@ def read_excel(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def completions(df: DataFrame, text: str, client: Callable[[], Callable[[list[str]], list[str | None]]], concurrency: int = 15, retries: int = 5) -> DataFrame:
-    """Adds ``completion`` from a model client (O-S14, O-S15, O-I05): ``client()`` is made once a task, batches that fail are tried again
-    with growing pauses, then left NULL; partitions bound the calls in flight."""
+    """Adds ``completion`` and ``failure`` from a model client (O-S14, O-S15, O-I05): ``client()`` is made once a task. A batch that fails is tried again with
+    growing pauses; after the last try its rows carry the error in ``failure`` and no completion, so that missing answers can be told and counted.
+    At most ``concurrency`` partitions call at once, fewer where fewer cores run."""
     ship(df.sparkSession)
     names = df.columns
 
@@ -111,16 +112,19 @@ def completions(df: DataFrame, text: str, client: Callable[[], Callable[[list[st
         ask = client()
         for b in batches:
             got: list[str | None] = [None] * len(b)
+            failure = None
             for attempt in range(retries):
                 try:
-                    got = ask(b[text].tolist())
+                    got, failure = ask(b[text].tolist()), None
                     break
-                except Exception:
-                    time.sleep(min(30.0, 0.1 * 2**attempt))
-            yield b[names].assign(completion=got)
+                except Exception as e:
+                    failure = f"{type(e).__name__}: {e}"
+                    if attempt + 1 < retries:
+                        time.sleep(min(30.0, 0.1 * 2**attempt))
+            yield b[names].assign(completion=got, failure=failure)
 
-    schema = T.StructType([*df.schema.fields, T.StructField("completion", T.StringType())])
-    return df.repartition(concurrency).mapInPandas(run, schema)
+    schema = T.StructType([*df.schema.fields, T.StructField("completion", T.StringType()), T.StructField("failure", T.StringType())])
+    return df.coalesce(concurrency).mapInPandas(run, schema)
 
 
 def parsed(df: DataFrame, text: str, parser: Callable[[], Callable[[list[str]], list[list[dict]]]]) -> DataFrame:
@@ -220,3 +224,12 @@ def bibtex(df: DataFrame, line: str) -> DataFrame:
     e = df.select(key.alias("key"), kind.alias("kind"), author.alias("author"), year.alias("year"), title.alias("title"), doi.alias("doi"), url.alias("url")).filter("year <> ''")
     longest = lambda c: F.max_by(c, F.struct(F.length(c), c)).alias(c)
     return e.groupBy("key").agg(*[longest(c) for c in ("kind", "author", "year", "title", "doi", "url")])
+
+
+def remove_stale(spark: SparkSession, folder: str, keep: list[str]) -> list[str]:
+    """Removes what lies in an output folder and is not named in ``keep`` (O-K13); returns the names removed."""
+    fs, p = _fs(spark, folder)
+    stale = sorted(x.getPath().getName() for x in fs.listStatus(p) if x.getPath().getName() not in keep) if fs.exists(p) else []
+    for name in stale:
+        fs.delete(_fs(spark, f"{folder}/{name}")[1], True)
+    return stale

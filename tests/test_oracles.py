@@ -41,7 +41,7 @@ def test_same_as_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES) - {"negative_binomial_glm"}))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_runs(spark, name):
     df = catalogue.QUERIES[name](spark, SF)
     assert len(df.columns) == len(set(df.columns))

@@ -1,4 +1,4 @@
-"""The pair queries without SQL against brute force on the smallest tables."""
+"""The pair queries against brute force on the smallest tables."""
 
 import math
 from collections import Counter
@@ -22,7 +22,7 @@ def brute(spark):
 
 
 def test_all_pairs(spark, brute):
-    got = {(r["a"], r["b"]): (r["n"], round(r["log_dice"], 5)) for r in catalogue.QUERIES["cooccurrence_all"](spark, SF).collect()}
+    got = {(r["a"], r["b"]): (r["n"], round(r["log_dice"], 5)) for r in catalogue.QUERIES["cooccurrence_pairs"](spark, SF).collect()}
     assert got.keys() == brute.keys() and all(got[k][0] == brute[k][0] and abs(got[k][1] - brute[k][1]) < 2e-5 for k in got)
     assert min(n for n, _ in got.values()) == 1
 
@@ -30,12 +30,12 @@ def test_all_pairs(spark, brute):
 def test_ego_network(spark, brute):
     edges = {k: v for k, v in brute.items() if v[0] >= 3}
     nodes = set()
-    got = {(r["focal"], r["neighbour"]): r["n"] for r in catalogue.QUERIES["ego_network"](spark, SF).collect()}
+    got = {(r["focal"], r["neighbour"]): r["n"] for r in catalogue.QUERIES["ego_topk"](spark, SF).collect()}
     want = {}
     for f in catalogue._FOCAL:
         near = sorted((-d, -n, a if b == f else b) for (a, b), (n, d) in edges.items() if f in (a, b))[:30]
         want |= {(f, x): -n for _, n, x in near}
         nodes |= {x for _, _, x in near} | ({f} if near else set())
     assert got == want
-    inner = {(r["a"], r["b"]): r["n"] for r in catalogue.QUERIES["ego_network_edges"](spark, SF).collect()}
+    inner = {(r["a"], r["b"]): r["n"] for r in catalogue.QUERIES["ego_second_order"](spark, SF).collect()}
     assert inner == {k: v[0] for k, v in edges.items() if set(k) <= nodes}
