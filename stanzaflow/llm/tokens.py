@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ast
 import base64
-import importlib.util
+import hashlib
 import os
 from collections.abc import Iterable
+from typing import NamedTuple
 
+import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,31 +19,41 @@ from ._rows import map_rows
 #: Where the vocabulary files lie; STANZAFLOW_TOKENIZERS overrides it.
 TOKENIZERS = os.environ.get("STANZAFLOW_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-_LOADED: dict[str, object] = {}
+_LOADED: dict[bytes, tiktoken.Encoding] = {}
 
 
-def encoding(path: str):
-    """The byte-level BPE of a .tiktoken file with its folder's split pattern, loaded once per worker."""
-    if path not in _LOADED:
-        import tiktoken
+class Vocabulary(NamedTuple):
+    """What the driver reads and sends to the workers, which need no files: less than a megabyte of ranks, and the pattern that splits texts before them."""
 
-        spec = importlib.util.spec_from_file_location("vocabulary_folder", os.path.join(os.path.dirname(path), "__init__.py"))
-        folder = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(folder)
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _LOADED[path] = tiktoken.Encoding("stanzaflow", pat_str=folder.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _LOADED[path]
+    ranks: bytes
+    pattern: str
+
+
+def load(path: str) -> Vocabulary:
+    """A .tiktoken file with its folder's split pattern, which is read as a literal, not run."""
+    with open(path, "rb") as f:
+        ranks = f.read()
+    with open(os.path.join(os.path.dirname(path), "__init__.py"), encoding="utf-8") as f:
+        body = ast.parse(f.read()).body
+    (pattern,) = (ast.literal_eval(x.value) for x in body if isinstance(x, ast.Assign) and getattr(x.targets[0], "id", "") == "PATTERN")
+    return Vocabulary(ranks, pattern)
+
+
+def encoding(vocabulary: Vocabulary) -> tiktoken.Encoding:
+    """The byte-level BPE, made once per worker."""
+    key = hashlib.sha256(vocabulary.ranks + vocabulary.pattern.encode()).digest()
+    if key not in _LOADED:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.ranks.splitlines())}
+        _LOADED[key] = tiktoken.Encoding("stanzaflow", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
+    return _LOADED[key]
 
 
 class TokenCounter:
     """Counts tokens of texts. Pieces of the split pattern are encoded once each while they are remembered (``most`` of them)."""
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
-        self.enc, self.most, self.sizes = encoding(path), most, {}
-        import regex
-
-        self.split = regex.compile(self.enc._pat_str)
+    def __init__(self, vocabulary: Vocabulary, most: int = 200_000) -> None:
+        self.enc, self.most, self.sizes = encoding(vocabulary), most, {}
+        self.split = regex.compile(vocabulary.pattern)
 
     def count(self, text: str) -> int:
         sizes, n = self.sizes, 0
@@ -55,10 +69,10 @@ class TokenCounter:
 
 def token_sizes(df: DataFrame, key: str, text: str, source: str, folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_key, source, tokens): source without case and outer blanks; NULL text has 0 tokens; whole texts are counted."""
-    path = os.path.join(folder or TOKENIZERS, vocabulary)
+    sent = df.sparkSession.sparkContext.broadcast(load(os.path.join(folder or TOKENIZERS, vocabulary)))
 
     def make():
-        counter = TokenCounter(path)
+        counter = TokenCounter(sent.value)
 
         def work(keys: list, sources: list, texts: list) -> Iterable[tuple]:
             for k, s, t in zip(keys, sources, texts):

@@ -18,7 +18,7 @@ def docs(spark, sizes, source=lambda i: f"s{i % 3}"):
 
 
 def test_counts_as_the_library():
-    c = T.TokenCounter(os.path.join(T.TOKENIZERS, T.VOCABULARY))
+    c = T.TokenCounter(T.load(os.path.join(T.TOKENIZERS, T.VOCABULARY)))
     for t in (" ".join(WORDS), "  a\n\n b", "x" * 50, "", "it's 2020!"):
         assert c.count(t) == len(c.enc.encode_ordinary(t))
 
