@@ -236,13 +236,13 @@ def common_words(df: DataFrame, text: str = "text", label: str = "lang") -> dict
 
     Per (label, word hash) counts are aggregated before they are compared; what is collected is ``COMMON`` words a language."""
     def make():
-        count = Counter({})
-
         def work(texts: list, labels: list) -> dict:
-            keep = [(t, next(iter(p))) for t, v in zip(texts, labels) if t and (p := parse_label(v)) and len(p) == 1 and "?" not in p]
-            if not keep:
-                return {}
-            return document_words([t for t, _ in keep], np.array([LANGUAGES.index(c) for _, c in keep]))
+            keep = [(t, LANGUAGES.index(next(iter(p)))) for t, v in zip(texts, labels) if t and (p := parse_label(v)) and len(p) == 1 and "?" not in p]
+            out: dict = {}
+            for i, j in _slices([t for t, _ in keep]):
+                for w, n in document_words([t for t, _ in keep[i:j]], np.array([c for _, c in keep[i:j]])).items():
+                    out[w] = out.get(w, 0) + n
+            return out
         return work
 
     df_counts = count_rows(df.select(text, label), make, "lang int, word bigint")
@@ -265,6 +265,19 @@ def _window(part: str, by: str, tie: str):
     return Window.partitionBy(part).orderBy(F.desc(by), tie)
 
 
+def _slices(texts: list[str | None], most: int = 600_000) -> Iterable[tuple[int, int]]:
+    """Runs of texts of about ``most`` characters together, one text at least: what a worker holds as arrays at once."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        n = len(t or "") + 1
+        if size + n > most and i > begin:
+            yield begin, i
+            begin, size = i, 0
+        size += n
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def document_words(texts: list[str], lang: np.ndarray) -> dict[tuple, int]:
     """{(language, word hash): documents with the word}; hash 0 counts the documents."""
     joined = "\n".join(texts) + "\n"
@@ -301,8 +314,8 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text", label: st
         count = Counter(common)
 
         def work(keys: list, texts: list) -> Iterable[tuple]:
-            for i in range(0, len(keys), 2000):
-                k, t = keys[i : i + 2000], texts[i : i + 2000]
+            for i, j in _slices(texts):
+                k, t = keys[i:j], texts[i:j]
                 s = count([x or "" for x in t])
                 cols = [s[c].tolist() for c in ("n_words", "n_lines", "n_chars", "mean_word_length", "symbol_ratio", "digit_ratio", "end_mark_ratio", "common_ratio")]
                 for a, x, lang, vec, *rest in zip(k, t, s["lang"].tolist(), s["vector"].tolist(), *cols):
