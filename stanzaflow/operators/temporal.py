@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def month_bucket(day: Column, months: int) -> Column:
     """Number of the n-month period a day lies in (O-F20)."""
@@ -34,15 +36,17 @@ def poem_days(df: DataFrame, key: str, day: str, weight: str | None = None) -> D
 def balanced_bins(poems: DataFrame, key: str, target: int, weighted: bool = False) -> DataFrame:
     """(key, day, weight, bin): chronological bins of about ``target`` poems, balanced in poems or in weight (O-T01, O-W11).
 
-    No poem is ranked in one task: counts and weights are added up per day, days are ranked, and a poem's rank is its day's offset plus
-    its rank within the day. Days are few at any corpus size; a day's poems are ranked in their own partition."""
+    No task ranks all poems, nor all of one day: poems are cut into ranges of (day, key) of about equal size, counts and weights of the ranges are added
+    up, and a poem's rank is its range's offset plus its rank within the range."""
     w = F.col("weight") if weighted else F.lit(1.0)
-    per_day = poems.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"))
-    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    parts = int(poems.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialise(poems.select(key, "day", "weight").repartitionByRange(parts, "day", key).withColumn("_r", F.spark_partition_id()))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
-    days = per_day.select("day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("w0"), F.sum("n").over(whole).alias("total"), F.sum("w").over(whole).alias("total_w"))
-    within = Window.partitionBy("day").orderBy(key)
-    p = poems.join(days, "day").withColumn("pos", F.col("n0") + F.row_number().over(within) - 1).withColumn("cum", F.col("w0") + F.sum(w).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    ranges = cut.groupBy("_r").agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"))  # one row a range
+    ranges = ranges.select("_r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("w0"), F.sum("n").over(whole).alias("total"), F.sum("w").over(whole).alias("total_w"))
+    within = Window.partitionBy("_r").orderBy("day", key)
+    p = cut.join(F.broadcast(ranges), "_r").withColumn("pos", F.col("n0") + F.row_number().over(within) - 1).withColumn("cum", F.col("w0") + F.sum(w).over(within.rowsBetween(Window.unboundedPreceding, 0)))
     bins = F.greatest(F.lit(1), F.ceil(F.col("total") / target))
     # bins of size q + 1 come first, then bins of size q
     q, r = F.floor(F.col("total") / bins), F.col("total") % bins

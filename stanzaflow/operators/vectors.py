@@ -23,39 +23,64 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
-def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, block: int = 256) -> DataFrame:
-    """(query, neighbour, similarity, rank): the k rows of ``base`` nearest to each query, itself excluded.
+def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, block: int = 20_000) -> DataFrame:
+    """(query, neighbour, similarity, rank): the k rows of ``base`` nearest to each query, itself excluded; of equally near ones the least ids.
 
-    Queries go in blocks of ``block`` rows; each task scores its share of ``base`` against a block by one matrix product and keeps its own
-    k best a query, so what is shuffled is k rows a query and task."""
+    ``base`` is not moved: queries go in blocks of about ``block`` rows, each block is broadcast, and every task keeps the k best of its own rows for each
+    query over all of its batches, so what is shuffled is k rows a query and task. The number of passes over ``base`` grows with the query set."""
     spark = base.sparkSession
     ship(spark)
-    numbered = queries.select(F.col(key).cast("bigint").alias("q"), F.col(vector).alias("v")).withColumn("g", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-queries.count() // block)))).cast("int"))
-    blocks = numbered.groupBy("g").agg(F.collect_list(F.struct("q", "v")).alias("qs"))  # bounded by block size
-    rows = base.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).filter("v is not null")
-    groups = rows.withColumn("part", F.spark_partition_id()).groupBy("part", F.pmod(F.xxhash64("id"), F.lit(64)).alias("h")).agg(F.collect_list(F.struct("id", "v")).alias("xs"))
-    out = pa.schema([("query", pa.int64()), ("neighbour", pa.int64()), ("similarity", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for xs, qs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x, q = np.array([r["v"] for r in xs], float), np.array([r["v"] for r in qs], float)
-                xi, qi = np.array([r["id"] for r in xs]), np.array([r["q"] for r in qs])
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-                s = q @ x.T
-                s[qi[:, None] == xi[None, :]] = -np.inf
-                m = min(k, s.shape[1])
-                best = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, m)), pa.array(xi[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], schema=out)
-
-    # a stated query set against all rows, in blocks: every block meets every group of base rows once
-    met = groups.select("xs").crossJoin(blocks.select("qs"))
-    scored = met.mapInArrow(run, "query bigint, neighbour bigint, similarity double").filter("similarity > double('-Infinity')")
+    asked = queries.select(F.col(key).cast("bigint").alias("q"), F.col(vector).cast("array<double>").alias("v")).filter("q is not null and v is not null")
+    n = max(1, -(-asked.count() // block))
+    rows = base.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    schema = "query bigint, neighbour bigint, similarity double"
+    scored = None
+    for g in range(n):
+        some = asked.filter(F.pmod(F.xxhash64("q"), F.lit(n)) == g).collect()  # about ``block`` rows
+        if not some:
+            continue
+        sent = spark.sparkContext.broadcast((np.array([r["q"] for r in some], np.int64), _unit(np.array([r["v"] for r in some], float))))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            qi, q = sent.value
+            best = np.full((len(qi), 0), -np.inf), np.zeros((len(qi), 0), np.int64)
+            for b in batches:
+                if b.num_rows:
+                    order = np.argsort(b["id"].to_numpy(), kind="stable")
+                    ids = b["id"].to_numpy()[order]
+                    x = _unit(b["v"].flatten().to_numpy().reshape(b.num_rows, -1)[order])
+                    near = [_best(q[i : i + 1024] @ x.T, ids, qi[i : i + 1024], k) for i in range(0, len(qi), 1024)]
+                    s, j = (np.concatenate((a, np.vstack([t[c] for t in near])), 1) for c, a in enumerate(best))
+                    top = np.lexsort((j, -s), axis=1)[:, :k]
+                    best = np.take_along_axis(s, top, 1), np.take_along_axis(j, top, 1)
+            s, j = best
+            real = s > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, real.sum(1))), pa.array(j[real]), pa.array(s[real])], names=["query", "neighbour", "similarity"])
+
+        part = rows.mapInArrow(run, schema)
+        scored = part if scored is None else scored.unionByName(part)
+    if scored is None:
+        return spark.createDataFrame([], schema + ", rank int")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _best(s: np.ndarray, ids: np.ndarray, qi: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the k greatest similarities and their ids (which ascend), the least ids first among equal ones at the edge."""
+    s[qi[:, None] == ids[None, :]] = -np.inf
+    m = min(k, s.shape[1])
+    at = np.argpartition(-s, m - 1, axis=1)[:, :m]
+    edge = np.take_along_axis(s, at, 1).min(1)
+    for i in np.flatnonzero((s >= edge[:, None]).sum(1) > m):
+        over = np.flatnonzero(s[i] > edge[i])
+        at[i] = np.concatenate((over, np.flatnonzero(s[i] == edge[i])[: m - len(over)]))
+    return np.take_along_axis(s, at, 1), ids[at]
+
+
 def procrustes(pairs: DataFrame, a: str, b: str) -> np.ndarray:
     """The orthogonal matrix that turns vectors ``a`` onto ``b`` best (O-C07): the sum of outer products is an aggregate of dimension squared
     numbers, its singular vectors are found on the driver."""
