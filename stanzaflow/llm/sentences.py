@@ -20,11 +20,12 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
-from ._rows import _ARROW, count_rows, map_rows
+from ..session import materialise, ship
+from ._rows import _ARROW, map_rows
 from .lookalike import APOSTROPHES, LATIN_CYRILLIC, LATIN_GREEK, invisible
 
 # Last characters of reporting clauses in scripts without case (said, asked, answered, shouted).
@@ -143,28 +144,34 @@ def prepare(text: str) -> tuple[str, list[int] | None]:
     return text.translate(_SHAPE) if _SHAPE_RE.search(text) else text, None
 
 
-def evidence(texts: Iterable[str]) -> Counter:
-    """Counts by (kind, key). l, t, d: lower-case, all and dotted occurrences of a word; x: dotted before what no sentence
+class Gatherer:
+    """Counts by (kind, key) over texts. l, t, d: lower-case, all and dotted occurrences of a word; x: dotted before what no sentence
     starts with; s: clear sentence starts, a: capital after a short dotted word, b: the two words; c, o: a word continues or opens after a mark
     (by context); f, g: a caseless fragment after a closing quote or elsewhere."""
-    n: Counter = Counter()
-    both: Counter = Counter()
-    plain: Counter = Counter()
-    for raw in texts:
+
+    def __init__(self) -> None:
+        self.n: Counter = Counter()
+        self.words: dict[bool, Counter] = {True: Counter(), False: Counter()}
+
+    def add(self, raw: str | None, asks: set[tuple[str, str]] | None = None) -> None:
+        """Adds a text's evidence, and to ``asks`` the (kind, key) that ``Segmenter.spans`` may look up for it."""
         if not raw:
-            continue
-        text = prepare(raw)[0]
+            return
+        n, text = self.n, prepare(raw)[0]
         capital = capital_lines(text)
         cyrillic = _CYRILLIC.search(text) is not None
-        (both if cyrillic else plain).update(_COUNT.findall(text))
+        self.words[cyrillic].update(_COUNT.findall(text))
         scripts = not cyrillic and _CASELESS.search(text) is not None
-        for block in _BLANK.split(text):
+        for _, block in _blocks(text):
             if (w := _WORD.search(block)) and w[0][0].isupper():
                 n["s", fold(w[0], cyrillic)] += 1
             caseless = scripts and _CASELESS.search(block) is not None
             if caseless and len(f := _fragment(block, 0)) <= 24:
                 n["g", f] += 1
             for c in _candidates(block, cyrillic):
+                ways = () if c.cls == "." or c.nx.islower() and not c.key else _contexts(block, c)
+                if asks is not None and not c.nx.islower():
+                    _ask(block, c, cyrillic, ways, asks)
                 if not c.spaced and not caseless:
                     continue
                 if caseless and c.cls != "." and len(f := _fragment(block, c.rest)) <= 24:
@@ -183,18 +190,62 @@ def evidence(texts: Iterable[str]) -> Counter:
                     if kind:
                         if kind == "o":
                             n["s", c.key] += 1
-                        for k in (f"{c.cls} {c.whole} > {c.key}" if c.whole else "", f"{c.cls} {c.key} {_ending(block, c.rest)}", f"{c.cls} {c.key}"):
-                            if k:
-                                n[kind, k] += 1
-    for cyrillic, words in ((True, both), (False, plain)):
-        for (w, dot), k in words.items():
-            key = fold(w, cyrillic)
-            n["t", key] += k
-            if dot:
-                n["d", key] += k
-            if w[0].islower():
-                n["l", key] += k
-    return n
+                        for k in ways if c.whole else ways[1:]:
+                            n[kind, k] += 1
+
+    def __len__(self) -> int:
+        return len(self.n) + sum(map(len, self.words.values()))
+
+    def counts(self) -> Counter:
+        """The counts so far, which are then forgotten."""
+        n = self.n
+        for cyrillic, words in self.words.items():
+            for (w, dot), k in words.items():
+                key = fold(w, cyrillic)
+                n["t", key] += k
+                if dot:
+                    n["d", key] += k
+                if w[0].islower():
+                    n["l", key] += k
+        self.__init__()
+        return n
+
+
+def _contexts(block: str, c: _Candidate) -> tuple[str, str, str]:
+    """The contexts by which the corpus tells whether a word continues after a mark, the most telling one first."""
+    return f"{c.cls} {c.whole} > {c.key}", f"{c.cls} {c.key} {_ending(block, c.rest)}", f"{c.cls} {c.key}"
+
+
+def _ask(block: str, c: _Candidate, cyrillic: bool, ways: tuple[str, ...], asks: set[tuple[str, str]]) -> None:
+    if c.cls == ".":
+        prev = fold(c.prev, cyrillic)
+        asks.update((k, prev) for k in "tdxyz")
+        asks.update((k, c.key) for k in "lsa")
+        return
+    for key in ways:
+        asks.update((("c", key), ("o", key)))
+    if c.cls == "q" and (_CASELESS.match(c.nx) or (c.prev and _CASELESS.match(c.prev[-1]))):
+        f = _fragment(block, c.rest)
+        asks.update((("f", f), ("g", f)))
+
+
+def evidence(texts: Iterable[str | None]) -> Counter:
+    """The evidence of some texts."""
+    g = Gatherer()
+    for t in texts:
+        g.add(t)
+    return g.counts()
+
+
+def _blocks(text: str) -> Iterator[tuple[int, str]]:
+    """Blocks between blank lines that have a letter or digit, with their places."""
+    at = 0
+    for m in [*_BLANK.finditer(text), None]:
+        raw = text[at : m.start() if m else len(text)]
+        block = raw.strip()
+        if block and _ALNUM.search(block):
+            yield at + len(raw) - len(raw.lstrip()), block
+        at = m.end() if m else at
 
 
 class _Document:
@@ -239,7 +290,7 @@ class Segmenter:
         out, at = [], 0
         cyrillic = _CYRILLIC.search(clean) is not None
         doc = _Document(clean, cyrillic)
-        for block_at, block in self._blocks(clean):
+        for block_at, block in _blocks(clean):
             begin = 0
             quotes = None
             for c in _candidates(block, cyrillic):
@@ -260,16 +311,6 @@ class Segmenter:
             out = [(where[a], where[b - 1] + 1) for a, b in out]
         return out
 
-    @staticmethod
-    def _blocks(text: str) -> Iterator[tuple[int, str]]:
-        at = 0
-        for m in [*_BLANK.finditer(text), None]:
-            raw = text[at : m.start() if m else len(text)]
-            block = raw.strip()
-            if block and _ALNUM.search(block):
-                yield at + len(raw) - len(raw.lstrip()), block
-            at = m.end() if m else at
-
     def _ends(self, block: str, c: _Candidate, capital: bool, doc: _Document) -> bool:
         nx, by = c.nx, self.by
         first = block[c.rest]
@@ -292,7 +333,7 @@ class Segmenter:
         if capital and c.newline and nx.isupper():
             if len(c.key) == 1 and c.key not in doc.lower:
                 return True
-            for k in (f"{c.cls} {c.whole} > {c.key}", f"{c.cls} {c.key} {_ending(block, c.rest)}", f"{c.cls} {c.key}"):
+            for k in _contexts(block, c):
                 more, new = by["c"].get(k, 0), by["o"].get(k, 0)
                 if more + new > 1:
                     return more <= new
@@ -331,36 +372,9 @@ class Segmenter:
         return low + start > after * (5 if initial else 1)
 
 
-def asked(text: str | None) -> set[tuple[str, str]]:
-    """The (kind, key) that ``Segmenter.spans`` may look up for this text; y, z: see ``corpus_evidence``."""
-    out: set[tuple[str, str]] = set()
-    if not text:
-        return out
-    clean, _ = prepare(text)
-    cyrillic = _CYRILLIC.search(clean) is not None
-    for _, block in Segmenter._blocks(clean):
-        for c in _candidates(block, cyrillic):
-            if c.nx.islower():
-                continue
-            if c.cls == ".":
-                out.update((k, fold(c.prev, cyrillic)) for k in "tdxyz")
-                out.update((k, c.key) for k in "lsa")
-            else:
-                for key in (f"{c.cls} {c.whole} > {c.key}", f"{c.cls} {c.key} {_ending(block, c.rest)}", f"{c.cls} {c.key}"):
-                    out.update((("c", key), ("o", key)))
-                if c.cls == "q" and (_CASELESS.match(c.nx) or (c.prev and _CASELESS.match(c.prev[-1]))):
-                    f = _fragment(block, c.rest)
-                    out.update((("f", f), ("g", f)))
-    return out
-
-
-def corpus_evidence(df: DataFrame, col: str = "text") -> DataFrame:
-    """(kind, key, n) over the whole column, however rare. Pairs of words (b) are reduced to what is asked of them: y and z count, by the
+def _reduced(got: DataFrame) -> DataFrame:
+    """(kind, key, n). Pairs of words (b) are reduced to what is asked of them: y and z count, by the
     word before, the pairs whose second word rather begins sentences and the other ones."""
-    def make():
-        return lambda texts: evidence(texts)
-
-    got = materialise(count_rows(df.select(F.col(col)), make, "kind string, key string").filter("length(key) > 0"))
     pick = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.col("n"))), F.lit(0))
     begins = got.filter("kind in ('l', 's', 'a')").groupBy(F.col("key").alias("nx")).agg((pick("l", "s") > pick("a")).alias("begins"))
     pairs = got.filter("kind = 'b'").select(F.substring_index("key", " ", 1).alias("key"), F.expr("substring(key, instr(key, ' ') + 1)").alias("nx"), "n")
@@ -369,23 +383,53 @@ def corpus_evidence(df: DataFrame, col: str = "text") -> DataFrame:
     return got.filter("kind <> 'b'").unionByName(opens)
 
 
+_READ = "chunk bigint, kind string, key string, n bigint, k string, t string"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over (k, t): the documents with the number of their chunk, what each chunk asks for, and the evidence, added up while it is small."""
+    task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+    chunk = size = 0
+    asks: set[tuple[str, str]] = set()
+    found = Gatherer()
+
+    def table(**columns: list) -> pa.RecordBatch:
+        m = len(next(iter(columns.values())))
+        kinds = {"chunk": pa.int64(), "kind": pa.string(), "key": pa.string(), "n": pa.int64(), "k": pa.string(), "t": pa.string()}
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(m, t) for c, t in kinds.items()], names=list(kinds))
+
+    def counted() -> pa.RecordBatch:
+        n = {x: c for x, c in found.counts().items() if x[1]}
+        return table(kind=[x[0] for x in n], key=[x[1] for x in n], n=list(n.values()))
+
+    def wanted() -> pa.RecordBatch:
+        return table(chunk=[task + chunk] * len(asks), kind=[x[0] for x in asks], key=[x[1] for x in asks])
+
+    for b in batches:
+        keys, texts, at = b[0].to_pylist(), b[1].to_pylist(), []
+        for t in texts:
+            if size > CHUNK:
+                yield wanted()
+                chunk, size, asks = chunk + 1, 0, set()
+            at.append(task + chunk)
+            size += len(t or "")
+            found.add(t, asks)
+        yield table(chunk=at, k=keys, t=texts)
+        if len(found) > 400_000:
+            yield counted()
+    yield wanted()
+    yield counted()
+
+
 def _segmented(df: DataFrame, key: str, col: str, row: Callable[[str, int, int, int, str], tuple], schema: str) -> DataFrame:
     """``row(key, i, begin, end, text)`` of each sentence. Documents meet, in chunks of about ``CHUNK`` characters, the evidence that they
     ask for: by joins, so no task holds more of the corpus counts than its chunk needs."""
-    docs = df.select(F.col(key).cast("string").alias("k"), F.col(col).alias("t"))
-    chars = docs.agg(F.sum(F.length("t"))).first()[0] or 0
-    docs = materialise(docs.withColumn("chunk", F.pmod(F.xxhash64("k", "t"), F.lit(chars // CHUNK + 1)).cast("int")).repartition("chunk"))
-
-    def make():
-        def work(chunks: list, texts: list) -> Iterable[tuple]:
-            need: dict[int, set] = {}
-            for c, t in zip(chunks, texts):
-                need.setdefault(c, set()).update(asked(t))
-            return ((c, *x) for c, keys in need.items() for x in keys)
-        return work
-
-    asks = map_rows(docs.select("chunk", "t"), make, "chunk int, kind string, key string")
-    known = asks.join(corpus_evidence(docs, "t"), ["kind", "key"]).select("chunk", "kind", "key", "n")
+    ship(df.sparkSession)
+    read = materialise(df.select(F.col(key).cast("string").alias("k"), F.col(col).alias("t")).mapInArrow(_read, _READ))
+    docs = read.filter("chunk is not null and kind is null").select("chunk", "k", "t")
+    counts = materialise(read.filter("chunk is null").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    asks = read.filter("chunk is not null and kind is not null").select("chunk", "kind", "key")
+    known = asks.join(_reduced(counts), ["kind", "key"]).select(F.col("chunk").alias("at"), "kind", "key", "n")
     names, types = zip(*(x.strip().split(" ") for x in schema.split(",")))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -394,7 +438,7 @@ def _segmented(df: DataFrame, key: str, col: str, row: Callable[[str, int, int,
         cols = list(zip(*rows)) or [()] * len(names)
         return pa.table([pa.array(c, _ARROW[t]) for c, t in zip(cols, types)], names=list(names))
 
-    return docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(cut, schema)
+    return docs.groupBy("chunk").cogroup(known.groupBy("at")).applyInArrow(cut, schema)
 
 
 def sentences(df: DataFrame, key: str = "ID", col: str = "text", segmenter: Segmenter | None = None) -> DataFrame:
