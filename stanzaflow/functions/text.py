@@ -66,8 +66,8 @@ def features(c: Column) -> Column:
 
 
 def pronoun_key(c: Column) -> Column:
-    """Lower case without brackets, also full-width ones (O-F10)."""
-    return F.lower(F.trim(F.regexp_replace(c, r"[\[\]()（）]", "")))
+    """Lower case without brackets, also full-width ones, and outer blanks of any kind (O-F10)."""
+    return F.lower(F.regexp_replace(F.regexp_replace(c, r"[\[\]()（）]", ""), r"(?U)^\s+|\s+$", ""))
 
 
 def second_plural_form(c: Column) -> Column:

@@ -21,7 +21,7 @@ def first_failure(rules: list[tuple[str, Column]]) -> Column:
 def annotation_rules(pronoun: Column, person: Column, number: Column, dropped: Column, no_pronoun: Column) -> list[tuple[str, Column]]:
     """Consistency rules of an annotation row."""
     said = F.coalesce(F.trim(pronoun), F.lit("")) != ""
-    key = F.lower(F.trim(F.regexp_replace(pronoun, r"[\[\]()（）]", "")))
+    key = T.pronoun_key(pronoun)
     return [
         ("INCONSISTENT: pronoun in a sentence without pronoun", no_pronoun & said),
         ("INCONSISTENT: no pronoun", ~F.coalesce(no_pronoun, F.lit(False)) & ~said),

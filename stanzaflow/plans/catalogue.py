@@ -1001,3 +1001,110 @@ def done_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark)
     table(spark, sf_dir, "annotations").select(F.coalesce(F.concat(F.lit(" "), "poem_id"), F.lit(" ")).alias("value")).write.text(path)
     return io.read_done(spark, path).unionByName(io.read_done(spark, path + "-missing"))
+
+
+# ---- encodings and forms, row by row ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {SQL_A} SELECT id, CASE WHEN cell <> '2pl' THEN cell WHEN no_pronoun IS NOT NULL AND coalesce(is_dropped, true) THEN '2pl_vy_polite_singular' ELSE '2pl_vy_true_plural' END AS register_cell, CASE WHEN cell <> '' THEN cell WHEN person = 'Impersonal' THEN 'Impersonal' ELSE 'ambiguous' END AS display, CASE WHEN person IN ('1st', '2nd') THEN person ELSE 'Other' END AS person_group, CASE WHEN cell = '' THEN NULL ELSE cell END AS row_cell FROM a""")
+def cell_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-P02..P04, O-P32, O-P35: the encodings of a record (a known sentence stands for a polite register, a dropped pronoun for a single addressee)."""
+    a = annotations(spark, sf_dir, "person", "num", "cell", "no_pronoun", "is_dropped")
+    polite = F.when(F.col("no_pronoun").isNotNull(), "polite_singular")
+    return a.select("id", E.register_cell(F.col("cell"), polite, F.col("is_dropped")).alias("register_cell"), E.display_label(F.col("person"), F.col("num")).alias("display"), E.language_group(F.col("person"), ["1st", "2nd"]).alias("person_group"), E.six_way(F.col("person"), F.col("num"), None).alias("row_cell"))
+
+
+@query(f"""WITH {SQL_P} SELECT poem_id, CASE WHEN y BETWEEN 1000 AND 2100 THEN y END AS posted_year, CASE WHEN d >= DATE '2022-02-24' THEN 'P2_2022_plus' WHEN d >= DATE '2014-01-01' THEN 'P1_2014_2021' ELSE 'unknown' END AS period, make_date(year::BIGINT, 7, 1) AS mid_year, round(ln(greatest(0.000001, least(0.999999, sh)) / greatest(0.000001, least(0.999999, 1 - sh))), 6) AS logit FROM (SELECT poem_id, year, try_cast(nullif(regexp_extract(trim(posted), '^(\\d{{4}})(?:\\.0+)?(?:\\D|$)', 1), '') AS BIGINT) AS y, CASE WHEN regexp_matches(trim(posted), '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_cast(substr(trim(posted), 1, 10) AS DATE) END AS d, (n_stanzas - 1) / 10.0::DOUBLE AS sh FROM (SELECT DISTINCT poem_id, year, posted, n_stanzas FROM p))""")
+def date_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-P06 by date, O-P21, O-F19, O-F23, O-F24: years and periods of post dates, and a clipped logit."""
+    p = poems(spark, sf_dir, "poem_id", "year", "posted", "n_stanzas")
+    s = F.trim("posted")
+    day = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(s, 1, 10)).try_cast("date")
+    share = (F.col("n_stanzas") - 1) / F.lit(10.0)
+    return _rounded(p.select("poem_id", E.sane_year(F.col("posted")).alias("posted_year"), E.period_by_date(day).alias("period"), temporal.mid_year(F.col("year")).alias("mid_year"), E.clipped_logit(share).alias("logit")))
+
+
+@query(f"""WITH {SQL_P}, x AS (SELECT poem_id, text, string_split(text, chr(10))[1] AS l, trim(regexp_replace(text, '[{T.SPACE}]+', ' ', 'g')) AS c FROM p WHERE text IS NOT NULL) SELECT DISTINCT poem_id, CASE WHEN regexp_full_match(l, '\\s*(?:\\*\\s*){{2,}}') THEN 'asterisk' WHEN regexp_full_match(l, '\\s*[-_=]{{3,}}\\s*') THEN 'rule' WHEN regexp_full_match(l, '\\s*(?:[IVXLCDM]{{1,8}}|[ivxlcdm]{{1,8}}|\\d{{1,2}})\\.\\s*') THEN 'number' WHEN regexp_full_match(l, '\\s*(?:\\d{{1,2}}|[IVXLCDM]{{1,8}}|[ivxlcdm]{{1,8}})\\.\\s+\\S.*') THEN 'number_text' WHEN regexp_full_match(l, '\\s*\\d{{1,2}}\\.\\d{{1,2}}\\.(?:\\d{{2}}|\\d{{4}})?\\s*') THEN 'date' END AS first_line, substr(c, 1, 180) AS preview, CASE WHEN length(text) <= 100 THEN text ELSE substr(text, 1, 48) || ' … ' || right(text, 48) END AS cut, regexp_replace(poem_id, '[^A-Za-z0-9_-]+', '_', 'g') AS slug FROM x""")
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-F05, O-F12, O-F13, O-F16: kind of the first line, preview, middle cut and slug of each poem."""
+    p = poem_texts(spark, sf_dir).filter("text is not null")
+    return p.select("poem_id", T.tags(F.get(F.split("text", "\n"), F.lit(0))).alias("first_line"), T.preview(F.col("text")).alias("preview"), T.middle_cut(F.col("text"), 100).alias("cut"), T.slug(F.col("poem_id")).alias("slug"))
+
+
+@query(f"WITH {SQL_A}, w AS (SELECT DISTINCT id, lower(trim(regexp_replace(pronoun, '[\\[\\]()（）]', '', 'g'))) AS k FROM a WHERE pronoun IS NOT NULL) SELECT id, k AS pronoun_key, coalesce(m.lemma, k) AS lemma, regexp_matches(k, '(^|[^а-яіїєґА-ЯІЇЄҐa-zA-Z’''-])(ви|вы|вас|вам|вами|ваш[а-яіїєґ’''-]*)($|[^а-яіїєґА-ЯІЇЄҐa-zA-Z’''-])') AS second_plural FROM w LEFT JOIN (VALUES ('мене', 'я'), ('нас', 'ми'), ('вас', 'ви')) m(form, lemma) ON form = k")
+def pronoun_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-F08, O-F10, O-F11: key, lemma and second-plural test of every pronoun."""
+    k = T.pronoun_key(F.col("pronoun"))
+    return annotations(spark, sf_dir, "pronoun").filter("pronoun is not null").select("id", k.alias("pronoun_key"), T.lemma_of(k, {"мене": "я", "нас": "ми", "вас": "ви"}).alias("lemma"), T.second_plural_form(k).alias("second_plural"))
+
+
+@query(f"""WITH {_SQL_LOGIT}, m AS (SELECT median(shift) AS a, median(se) AS b, stddev_pop(shift) AS sa, stddev_pop(se) AS sb FROM sh) SELECT author, CASE WHEN shift >= a THEN 'person_up' ELSE 'person_down' END || '_' || CASE WHEN se >= b THEN 'number_up' ELSE 'number_down' END AS type, sign(shift) * sign(se) < 0 AS discordant, abs(shift - a) > sa OR abs(se - b) > sb AS extreme FROM sh, m""")
+def author_typology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-P31: quadrants of two author figures (shift and its error) around their medians."""
+    return qa.typology(_logit_shifts(spark, sf_dir), "shift", "se").select("author", "type", "discordant", "extreme")
+
+
+@query("""SELECT lower(trim("Author of poem")) AS author, arg_min("Language", (-length("Language"), "Language")) FILTER ("Language" IS NOT NULL) AS "Language", arg_min("Is repeat", (-length("Is repeat"), "Is repeat")) FILTER ("Is repeat" IS NOT NULL) AS "Is repeat" FROM layer0_poems_one_per_row GROUP BY ALL""")
+def longest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-U07: per author the longest value of each column."""
+    d = table(spark, sf_dir, "layer0_poems_one_per_row").withColumn("author", F.lower(F.trim("Author of poem")))
+    return cohort.longest_values(d.select("author", "Language", "Is repeat"), "author", ["Language", "Is repeat"])
+
+
+@query(f"WITH {SQL_A}, f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY poem_id, sentence_id ORDER BY created_at, id) = 1) SELECT poem_id, sentence_id, id, annotator FROM f")
+def first_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-U02, O-L01: the first record of each sentence."""
+    return cohort.first_by(annotations(spark, sf_dir, "poem_id", "sentence_id", "annotator", "created_at"), ["poem_id", "sentence_id"], [F.col("created_at"), F.col("id")]).select("poem_id", "sentence_id", "id", "annotator")
+
+
+@query(f"WITH {SQL_P}, c AS (SELECT language, author, count(DISTINCT poem_id) AS n FROM p WHERE author IS NOT NULL AND language IS NOT NULL GROUP BY ALL) SELECT language, author, n, row_number() OVER (PARTITION BY language ORDER BY n DESC, author) AS rank FROM c QUALIFY rank <= 5")
+def language_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-W02, O-L06: the five authors with most poems of each language, a report."""
+    c = poems(spark, sf_dir, "poem_id", "author", "language").filter("author is not null and language is not null").groupBy("language", "author").agg(F.countDistinct("poem_id").alias("n"))
+    return _rounded(cohort.ranked(c, ["language"], [F.desc("n"), F.col("author")], 5))
+
+
+@query(f"WITH {_SQL_DAYS}, c AS (SELECT *, (ntile((SELECT greatest(1, ceil(count(*) / 200.0))::BIGINT FROM dy)) OVER (ORDER BY day, poem_id)) AS bin FROM dy), i AS (SELECT bin::BIGINT AS interval_id, min(day) AS s, max(day) AS e, count(*) AS n FROM c GROUP BY bin) SELECT interval_id, round(sum(n / greatest(1, date_diff('day', s, e) + 1)) OVER (ORDER BY s, e, interval_id), 6) AS axis FROM i")
+def density_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-T05: cumulative poems per day over balanced intervals."""
+    i = temporal.bin_intervals(temporal.balanced_bins(_days(spark, sf_dir), "poem_id", 200))
+    return _rounded(temporal.density_axis(i).select("interval_id", "axis"))
+
+
+@query(f"WITH {_SQL_WORDS}, g AS (SELECT DISTINCT poem_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term, stanza_index FROM w) SELECT term, count(*) AS n_units FROM g GROUP BY term HAVING count(*) >= 3")
+def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-C11: words and pairs of neighbours that occur in at least three stanzas."""
+    w = _words(spark, sf_dir)
+    terms = w.select("poem_id", "stanza_index", F.explode(F.array_distinct(F.concat("ws", colloc.ngrams(F.col("ws"), 2)))).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_units")).filter("n_units >= 3")
+
+
+@query(f"""WITH {SQL_PT}, w AS (SELECT author, coalesce(sum("1sg") FILTER (period3 LIKE 'P1%'), 0)::DOUBLE AS a1, coalesce(sum("1pl") FILTER (period3 LIKE 'P1%'), 0)::DOUBLE AS b1, coalesce(sum(n_total) FILTER (period3 LIKE 'P1%'), 0)::DOUBLE AS n1, coalesce(sum("1sg") FILTER (period3 LIKE 'P2%'), 0)::DOUBLE AS a2, coalesce(sum("1pl") FILTER (period3 LIKE 'P2%'), 0)::DOUBLE AS b2, coalesce(sum(n_total) FILTER (period3 LIKE 'P2%'), 0)::DOUBLE AS n2 FROM pt WHERE author IS NOT NULL GROUP BY author),
+ e AS (SELECT author, CASE WHEN a1 > 0 AND a2 > 0 AND a1 < n1 AND a2 < n2 THEN round(ln(a2 / (n2 - a2)) - ln(a1 / (n1 - a1)), 6) END AS x, CASE WHEN b1 > 0 AND b2 > 0 AND b1 < n1 AND b2 < n2 THEN round(ln(b2 / (n2 - b2)) - ln(b1 / (n1 - b1)), 6) END AS y FROM w) SELECT author, x AS estimate_logit__1sg, y AS estimate_logit__1pl FROM e WHERE x IS NOT NULL OR y IS NOT NULL""")
+def author_contrast_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-R04, O-R06: authors against contrasts, a column a contrast."""
+    long = _cells_long(poem_table(spark, sf_dir), ["author", "period3", "n_total"]).filter("cell in ('1sg', '1pl')")
+    shifts = models.cell_shifts(long, "author", "cell", "k", "n_total", "period3", E.P1, E.P2)
+    return _rounded(counts.wide_results(shifts, ["author"], "cell", ["1sg", "1pl"], ["estimate_logit"]))
+
+
+@query(f"WITH {SQL_A}, k AS (SELECT poem_id, sentence_id, lower(trim(regexp_replace(pronoun, '[\\[\\]()（）]', '', 'g'))) AS pronoun_key, coalesce(person, '') AS person, coalesce(num, '') AS num, annotator < 'm' AS l FROM a WHERE pronoun IS NOT NULL AND annotator IS NOT NULL), r AS (SELECT poem_id, sentence_id, pronoun_key, min({{'p': person, 'n': num}}) AS v FROM k WHERE NOT l GROUP BY ALL) SELECT k.poem_id, k.sentence_id, k.pronoun_key, person AS person_manual, num AS num_manual, v.p AS person_gpt, v.n AS num_gpt, person IS DISTINCT FROM v.p AS differs_person, num IS DISTINCT FROM v.n AS differs_num FROM k LEFT JOIN r USING (poem_id, sentence_id, pronoun_key) WHERE l AND (person IS DISTINCT FROM v.p OR num IS DISTINCT FROM v.n)".replace('{{', '{').replace('}}', '}'))
+def matched_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-J11, O-Q04: two sets of records (by annotator's name) matched on three normalised keys; rows that differ, a flag a field."""
+    a = annotations(spark, sf_dir, "poem_id", "sentence_id", "pronoun", "person", "num", "annotator").filter("pronoun is not null").select("poem_id", "sentence_id", "pronoun", F.coalesce("person", F.lit("")).alias("person"), F.coalesce("num", F.lit("")).alias("num"), "annotator")
+    keys = {"poem_id": F.col("poem_id"), "sentence_id": F.col("sentence_id"), "pronoun_key": T.pronoun_key(F.col("pronoun"))}
+    return qa.disagreements(qa.match_sides(a.filter("annotator < 'm'"), a.filter("annotator >= 'm'"), keys, ["person", "num"]), ["person", "num"])
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round(avg((value > 0)::INT), 6) AS p_positive, round(least(avg((value > 0)::INT), 1 - avg((value > 0)::INT)), 6) AS false_sign_risk FROM events GROUP BY event_type")
+def draw_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-M21, O-R05: summary of draws (values of events stand for them) per term."""
+    return _rounded(models.posterior_summary(table(spark, sf_dir, "events"), ["event_type"], "value"))
+
+
+@query(f"""WITH {SQL_P}, x AS (SELECT DISTINCT ID AS poem_id, regexp_extract_all(text, '[^{T.SPACE}]+') AS a, regexp_extract_all(text_en, '[^{T.SPACE}]+') AS b FROM poems_for_manual_annotation WHERE text IS NOT NULL AND text_en IS NOT NULL), y AS (SELECT sum(len(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: a[i] IS NOT DISTINCT FROM b[i])))::BIGINT AS same, sum(greatest(len(a), len(b)))::BIGINT AS n FROM x) SELECT same, n, round(same / n, 6) AS rate FROM y""")
+def position_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-Q06: share of positions at which two token lists of a poem (text and translation) agree."""
+    p = table(spark, sf_dir, "poems_for_manual_annotation").filter("text is not null and text_en is not null").groupBy("ID").agg(F.min("text").alias("text"), F.min("text_en").alias("text_en"))
+    words = lambda c: F.regexp_extract_all(c, F.lit(f"[^{T.SPACE}]+"), F.lit(0))
+    return _rounded(qa.agreement_rate(p.select(words("text").alias("a"), words("text_en").alias("b")), "a", "b"))
