@@ -76,7 +76,7 @@ def test_separators_and_precedence(spark):
     body = "\n***\n".join("abcdefg")
     assert S.spaced_separators(body, 2) == ["a\n***\nb\n***\nc\n***\nd", "e\n***\nf\n***\ng"]
     assert S.spaced_separators(body, 7) == list("abcdefg") and S.spaced_separators(body, 8) is None and S.spaced_separators(body, 1) is None
-    assert [len(p) for p in S.spaced_separators(body, 4)] == [1, 11, 16, 1] or len(S.spaced_separators(body, 4)) == 4
+    assert S.spaced_separators(body, 4) == ["a", "b\n***\nc", "d\n***\ne\n***\nf", "g"]
     text = "one\ntwo\nthree"
     assert S.resolved(text, 2, [0, 2], (3, [0, 1, 2])) == (["one\ntwo", "three"], "manual_csv", True, False, 2)
     assert S.resolved(text, 2, None, (3, [0, 1, 2])) == (["one", "two", "three"], "gpt_batch_linecuts", True, False, 3)
@@ -117,9 +117,9 @@ def test_small_result_operators(spark, tmp_path):
     got = [(r["level"], r["n"]) for r in counts.level_counts(d, "v").orderBy("position").collect()]
     assert got == [("x", 2), ("b", 1), ("missing", 2)] and counts.level_counts(d.limit(0), "v").count() == 0
     assert cohort.with_defaults(cohort.stripped_columns(d), {"id": 0, "q": "OK"}).columns == ["v", "id", "q"]
-    s = spark.createDataFrame([("A. B b. C", "b b"), ("A. B", "zz"), (None, "A"), ("A. B", None)], "t string, c string")
+    s = spark.createDataFrame([("A. B b. C", " B b "), ("A.\n B b. C", "B"), ("A. B", "zz"), (None, "A"), ("A. B", None), ("A. B", "A")], "t string, c string")
     rows = [(r["context_-1"], r["context_+0"], r["context_+1"]) for r in qa.sentence_windows(s, "t", "c", 1).collect()]
-    assert rows == [("A", "B b", "C"), ("", "", ""), ("", "", ""), ("", "", "")] or rows[0] == ("", "", "")
+    assert rows == [("A", "B b", "C"), ("A", "B b", "C"), ("", "", ""), ("", "", ""), ("", "", ""), ("", "A", "B")]
     for n in ("old", "new"):
         d.select("v").write.parquet(str(tmp_path / n))
     assert io.remove_stale(spark, str(tmp_path), ["new"]) == ["old"] and os.listdir(tmp_path) == ["new"]
