@@ -389,7 +389,7 @@ def spline_test(df: DataFrame, y: str, x: str, offset: str, degrees: int = 5) ->
 
 def conditional_logit(df: DataFrame, group: str, k: str, n: str, x: list[str], iterations: int = 25) -> pd.DataFrame:
     """Exact conditional logistic regression (O-M10). Rows are binomial counts; a group's likelihood conditions on its successes, with the
-    normaliser and its derivatives from a dynamic programme over the group's rows. Groups without variation drop out."""
+    derivatives of its normaliser from Fourier sums. Groups without variation drop out."""
     p = len(x)
     beta = np.zeros(p)
     rows = materialise(df.groupBy(group, *x).agg(F.sum(k).alias("_k"), F.sum(n).alias("_n")))  # equal covariates pool: a group has few distinct rows
@@ -417,27 +417,43 @@ def conditional_logit(df: DataFrame, group: str, k: str, n: str, x: list[str], i
 
 
 def clogit_terms(x: np.ndarray, k: np.ndarray, n: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Score and information of one group: moments of sum(x) over all ways to place the group's successes."""
-    total, p = int(k.sum()), x.shape[1]
-    if total == 0 or total == int(n.sum()):
+    """Score and information of one group: moments of sum(x) over all ways to place the group's successes.
+
+    Given their sum, the rows' successes are binomials whatever intercept they share; with the one that makes the observed sum the expected one, its
+    probability is never small, and the moments are Fourier sums over the characteristic function, which neither overflow nor grow with the counts."""
+    total, size, p = int(k.sum()), int(n.sum()), x.shape[1]
+    if total == 0 or total == size:
         return np.zeros(p), np.zeros((p, p))
-    shift = float((x @ beta).max())
-    f = np.zeros(total + 1)
-    f[0] = 1.0
-    s, q = np.zeros((total + 1, p)), np.zeros((total + 1, p, p))
-    for xi, ni in zip(x, n):
-        w = [math.exp(math.lgamma(ni + 1) - math.lgamma(j + 1) - math.lgamma(ni - j + 1) + j * (float(xi @ beta) - shift)) for j in range(min(ni, total) + 1)]
-        f2, s2, q2 = np.zeros_like(f), np.zeros_like(s), np.zeros_like(q)
-        for j, wj in enumerate(w):
-            m = total + 1 - j
-            d = j * xi
-            f2[j:] += wj * f[:m]
-            s2[j:] += wj * (s[:m] + f[:m, None] * d)
-            q2[j:] += wj * (q[:m] + s[:m, :, None] * d[None, None, :] + s[:m, None, :] * d[None, :, None] + f[:m, None, None] * np.outer(d, d))
-        top = f2.max()
-        f, s, q = f2 / top, s2 / top, q2 / top
-    mean = s[total] / f[total]
-    return (x * k[:, None]).sum(0) - mean, q[total] / f[total] - np.outer(mean, mean)
+    eta = x @ beta
+    level = math.log(total / (size - total))
+    low, high = level - float(eta.max()), level - float(eta.min())
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (n * np.exp(-np.logaddexp(0, -eta - mid))).sum() < total else (low, mid)
+    yes, no = np.exp(-np.logaddexp(0, -eta - high)), np.exp(-np.logaddexp(0, eta + high))
+    over = np.where(yes <= 0.5, k - n * yes, n * no - (n - k))  # observed less expected, precise at both ends
+    v = n * yes * no
+    x = x - (v @ x / v.sum() if v.sum() > 0 else 0.0)
+    # With more points than the sum has values the Fourier sums are exact; beyond the second bound (Bernstein's) a value's probability is zero in doubles.
+    half = math.ceil(min(size, 250 + math.sqrt(62500 + 1500 * v.sum())) / 2)
+    less, side = np.minimum(yes, no), np.where(yes <= 0.5, 1, -1)
+    f, s, q = 0.0, np.zeros(p), np.zeros((p, p))
+    block = 1 + 2**13 // len(n)
+    for first in range(0, half + 1, block):
+        at = np.arange(first, min(first + block, half + 1))
+        u = 2 * math.pi / (2 * half + 1) * at[:, None]
+        turn = 2j * np.sin(u / 2) * np.exp(0.5j * u)  # exp(iu) - 1
+        z, r = 1 + yes * turn, -4 * yes * no * np.sin(u / 2) ** 2
+        log_z = np.where(r > -0.5, np.log1p(np.maximum(r, -0.5)) / 2, np.log(np.abs(z)))
+        phi = np.exp((n * (log_z + 1j * side * (np.angle(1 + less * turn) - less * u))).sum(1) - 1j * u[:, 0] * over.sum()) * np.where(at, 2, 1)
+        d = (v * turn / z) @ x  # a row's successes less expected
+        f += phi.sum().real
+        s += (phi @ d).real
+        q += ((d * phi[:, None]).T @ d).real + (x.T * (phi @ (v * (1 + turn) / z**2)).real) @ x
+        if phi[-1] == 0:  # its size falls with u
+            break
+    mean = s / f
+    return over @ x - mean, q / f - np.outer(mean, mean)
 
 
 def random_intercept(df: DataFrame, group: str, y: str, x: list[str], iterations: int = 50) -> dict[str, object]:
